@@ -7,20 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import secret_ledger, simhash, source_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def secret_digest(found: DataFrame) -> DataFrame:
+    """The digest columns of op3 from (path, spans)."""
+    said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_ledger.BASE]))
+    base = F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    count = [number(k) for k in ("assign", "access", "hex")]
+    return found.select(F.col("path").alias("doc_id"), *count, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(said, ",").alias("spans"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_ledger.secrets(_table(spark, sf_dir, "documents"))[0])
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, sized = source_mix.mix(_table(spark, sf_dir, "documents"))
+    return source_mix.taken(pieces, sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_secret_scans, op5_source_mix, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
