@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rlz_dedup, secret_ledger, simhash, source_mix
+from . import posting_ann, rlz_dedup, secret_ledger, simhash, source_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +41,17 @@ def op6_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.neighbours(_table(spark, sf_dir, "embeddings")).select(F.col("query_id").cast("bigint"), F.col("rank").cast("int"), "vec_id", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
