@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import posting_ann, rlz_dedup, secret_ledger, simhash, source_mix
+from . import posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
