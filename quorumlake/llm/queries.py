@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
+from . import language_mix, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.predict(_table(spark, sf_dir, "documents"))
+
+
 def secret_digest(found: DataFrame) -> DataFrame:
     """The digest columns of op3 from (path, spans)."""
     said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
@@ -55,7 +59,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
+    return {f.__name__: f for f in (op2_language_mix, op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
