@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mix, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
+from . import language_mix, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_ledger.secrets(_table(spark, sf_dir, "documents"))[0])
 
 
+def page_digest(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op4_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_digest(mincut_html.main_text(_table(spark, sf_dir, "pages")))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, sized = source_mix.mix(_table(spark, sf_dir, "documents"))
     return source_mix.taken(pieces, sized).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,7 +67,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_mix, op3_secret_scans, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
+    return {f.__name__: f for f in (op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
