@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mix, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
+from . import language_mix, licence_model, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_licence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_model.scan(_table(spark, sf_dir, "documents")).select("doc_id", "paragraph", "family", "template", "found", "text")
+
+
 def op8_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_ann.neighbours(_table(spark, sf_dir, "embeddings")).select(F.col("query_id").cast("bigint"), F.col("rank").cast("int"), "vec_id", "score")
 
@@ -67,7 +71,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
+    return {f.__name__: f for f in (op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
