@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mix, licence_model, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
+from . import language_mix, licence_model, line_templates, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_recurring(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op2_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.predict(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +77,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
+    return {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
