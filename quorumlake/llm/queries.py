@@ -77,7 +77,9 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
