@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def inject(agents: DataFrame, injections: DataFrame) -> DataFrame:
     """agents (name, stance, influence) with the stances of known names set, between 0 and 1."""
     fixed = injections.select("name", F.col("stance").alias("new"))
-    return agents.join(fixed, "name", "left").withColumn("stance", F.coalesce(F.least(F.greatest("new", F.lit(0.0)), F.lit(1.0)), "stance")).drop("new")
+    return agents.join(fixed, "name", "left").withColumn("stance", F.when(F.col("new").isNull(), F.col("stance")).otherwise(F.least(F.greatest("new", F.lit(0.0)), F.lit(1.0)))).drop("new")
 
 
 def run(agents: DataFrame, edges: DataFrame, rounds: int = 12, alpha: float = 0.35, threshold: float = 0.25) -> DataFrame:
