@@ -18,10 +18,13 @@ VERBS = ("utiliza", "utilizam", "usa", "usam", "emprega", "executa", "produz", "
 
 def svo(rows: DataFrame, verbs: tuple[str, ...] = VERBS, most: int = 10, id_col: str = "doc_id") -> DataFrame:
     """(id, pos, subject, predicate, object): a few words before and after a verb of the list, the first `most` of a text."""
-    pattern = rf"(?i)((?:[\p{{L}}\p{{N}}-]+ ){{1,4}})({'|'.join(verbs)}) ((?:[\p{{L}}\p{{N}}-]+ ?){{1,4}})"
-    got = F.arrays_zip(*[F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(("subject", "verb", "object"), 1)])
-    out = rows.select(id_col, F.posexplode(F.slice(got, 1, most)).alias("pos", "t"))
-    return out.select(id_col, "pos", F.trim("t.subject").alias("subject"), map_predicate(F.col("t.verb")).alias("predicate"), F.trim("t.object").alias("object"))
+    words = r"[\p{L}\p{N}-]+"
+    pattern = rf"(?i)((?:{words} ){{1,4}})({'|'.join(verbs)}) ((?:{words} ?){{1,4}})"
+    # a match starts at a word, so other places need not be tried
+    found = F.regexp_extract_all(F.col("text"), F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}-]){pattern[4:]}"), F.lit(0))
+    out = rows.select(id_col, F.posexplode(F.slice(found, 1, most)).alias("pos", "m"))
+    part = [F.trim(F.regexp_extract("m", pattern, i)) for i in (1, 2, 3)]
+    return out.select(id_col, "pos", part[0].alias("subject"), map_predicate(part[1]).alias("predicate"), part[2].alias("object"))
 
 
 def confidence(subject: Column, predicate: Column, object_: Column) -> Column:

@@ -42,6 +42,18 @@ IMPERATIVES = ("clique", "execute", "instale", "configure", "rode", "acesse", "b
 MAX_TOKENS, MAX_CHARS = 8, 60
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _has_marker(low: Column) -> Column:
+    found = F.lit(False)
+    for m in UI_MARKERS:
+        found |= F.contains(low, F.lit(m))
+    return found
+
+
 def predicate_map() -> dict[str, str]:
     """Folded form -> controlled predicate: infinitives in -ar are conjugated by rule, irregular forms are listed."""
     out = dict(FORMS)
@@ -98,32 +110,33 @@ def copular_complement(words: Column) -> Column:
 def span_reason(span: Column, role: str, known: Column | None = None, predicate: Column | None = None) -> Column:
     """Why a span names no entity, null if it may; the rules in order. known: whether the folded span is a known entity."""
     obj = role == "object"
-    raw, folded = F.trim(F.coalesce(span, F.lit(""))), T.fold_span(span)
-    words = F.split(folded, " ")
-    first, n = F.get(words, F.lit(0)), F.size(words)
     generic = f"{role}_generic_phrase"
 
     def either(of_object: str, of_subject: str = generic) -> str:
         return of_object if obj else of_subject
 
-    clause = folded.rlike("^(que |o que|para que|porque)") | F.concat(F.lit(" "), folded, F.lit(" ")).rlike(" (de modo que|de forma que|para que|pois|embora|quando|onde|enquanto|that|which|who|whom) | porque")
-    out = F.when(F.length(folded) < 2, generic)
-    if known is not None:
-        out = out.when(known, F.lit(None).cast("string"))
-    out = (
-        out.when(raw.rlike(r"""^[.,;:!?()\[\]{}"'`-]|[{}\[\]<>|\\/=_@#~^`]"""), either("object_punctuated"))
-        .when(folded.rlike(r"^[0-9 ]+$"), either("object_numeric_only"))
-        .when(folded.rlike(r"^(em |de |do |da |dos |das |no |na |por )?([0-9]{1,4}|seculo( [ivxlcdm]+)?|decada( de [0-9]{4})?|anos( [0-9]{1,3})?)$"), either("object_date_like"))
-        .when(first.isin(*QUANTIFIERS), "subject_quantifier_phrase" if not obj else generic)
-        .when(folded.isin(*PRONOUNS) | ((n > 1) & first.isin(*PRONOUNS)), either("object_pronoun"))
-        .when(clause, either("object_clause_fragment"))
-        .when((n >= 3) & folded.rlike(r".\b(que|that|which|who|whom|whose)\b."), either("object_clause_fragment"))
-        .when(first.isin(*ADVERBIAL), either("object_adverbial_phrase", "subject_starts_with_stopword"))
-        .when(first.isin(*PREPOSITIONS), either("object_prepositional_phrase", "subject_starts_with_stopword"))
-    )
-    if obj and predicate is not None:
-        out = out.when((predicate == "SER") & copular_complement(words), "object_predicate_complement")
-    return out.when(F.forall(words, lambda w: w.isin(*FUNCTION_WORDS)), generic).when((n > MAX_TOKENS) | (F.length(raw) > MAX_CHARS), f"{role}_too_long")
+    def judged(raw: Column, folded: Column, words: Column) -> Column:
+        first, n = F.get(words, F.lit(0)), F.size(words)
+        clause = folded.rlike("^(que |o que|para que|porque)") | F.concat(F.lit(" "), folded, F.lit(" ")).rlike(" (de modo que|de forma que|para que|pois|embora|quando|onde|enquanto|that|which|who|whom) | porque")
+        out = F.when(F.length(folded) < 2, generic)
+        if known is not None:
+            out = out.when(known, F.lit(None).cast("string"))
+        out = (
+            out.when(raw.rlike(r"""^[.,;:!?()\[\]{}"'`-]|[{}\[\]<>|\\/=_@#~^`]"""), either("object_punctuated"))
+            .when(folded.rlike(r"^[0-9 ]+$"), either("object_numeric_only"))
+            .when(folded.rlike(r"^(em |de |do |da |dos |das |no |na |por )?([0-9]{1,4}|seculo( [ivxlcdm]+)?|decada( de [0-9]{4})?|anos( [0-9]{1,3})?)$"), either("object_date_like"))
+            .when(first.isin(*QUANTIFIERS), "subject_quantifier_phrase" if not obj else generic)
+            .when(folded.isin(*PRONOUNS) | ((n > 1) & first.isin(*PRONOUNS)), either("object_pronoun"))
+            .when(clause, either("object_clause_fragment"))
+            .when((n >= 3) & folded.rlike(r".\b(que|that|which|who|whom|whose)\b."), either("object_clause_fragment"))
+            .when(first.isin(*ADVERBIAL), either("object_adverbial_phrase", "subject_starts_with_stopword"))
+            .when(first.isin(*PREPOSITIONS), either("object_prepositional_phrase", "subject_starts_with_stopword"))
+        )
+        if obj and predicate is not None:
+            out = out.when((predicate == "SER") & copular_complement(words), "object_predicate_complement")
+        return out.when(F.forall(words, lambda w: w.isin(*FUNCTION_WORDS)), generic).when((n > MAX_TOKENS) | (F.length(raw) > MAX_CHARS), f"{role}_too_long")
+
+    return let(F.trim(F.coalesce(span, F.lit(""))), lambda raw: let(T.fold_span(raw), lambda folded: let(F.split(folded, " "), lambda words: judged(raw, folded, words))))
 
 
 def link_entities(rows: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
@@ -143,7 +156,7 @@ def alias_table(variants: DataFrame) -> DataFrame:
 
 
 def valid_term(c: Column) -> Column:
-    return (F.length(c) >= 3) & (F.size(F.split(c, " ")) <= 6) & c.rlike(r"\p{L}") & ~F.exists(F.array(*[F.lit(m) for m in UI_MARKERS]), lambda m: F.contains(F.lower(c), m))
+    return (F.length(c) >= 3) & (F.size(F.split(c, " ")) <= 6) & c.rlike(r"\p{L}") & ~_has_marker(F.lower(c))
 
 
 def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | None = None) -> DataFrame:
@@ -152,8 +165,10 @@ def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | Non
     pair_aliases: (subject, object, old, new): for these pairs of canonical names a predicate is renamed.
     """
     out = link_entities(link_entities(triples, "subject", aliases, "c_subject"), "object", aliases, "c_object")
-    out = out.withColumn("c_predicate", map_predicate(F.col("predicate")))
-    p = predicate_reason(F.col("predicate"))
+    # verbs are few: each is judged once
+    verbs = triples.select(F.col("predicate").alias("__verb")).distinct().select("__verb", map_predicate(F.col("__verb")).alias("c_predicate"), predicate_reason(F.col("__verb")).alias("__why"))
+    out = out.join(verbs, F.col("predicate").eqNullSafe(F.col("__verb"))).drop("__verb")
+    p = F.col("__why")
     s = span_reason(F.col("subject"), "subject", F.col("c_subject_known"))
     o = span_reason(F.col("object"), "object", F.col("c_object_known"), F.col("c_predicate"))
     missing = F.when(~valid_term(F.col("c_subject")) | ~valid_term(F.col("c_object")), "missing_entity")
@@ -163,7 +178,7 @@ def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | Non
         pairs = F.broadcast(pair_aliases.select(F.col("subject").alias("c_subject"), F.col("object").alias("c_object"), F.col("old").alias("c_predicate"), F.col("new").alias("__new")))
         out = out.join(pairs, ["c_subject", "c_object", "c_predicate"], "left").withColumn("c_predicate", F.coalesce("__new", "c_predicate")).drop("__new")
     confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence"), F.lit(0.5)))), 3)
-    return out.withColumn("confidence", confidence).drop("c_subject_known", "c_object_known")
+    return out.withColumn("confidence", confidence).drop("c_subject_known", "c_object_known", "__why")
 
 
 def rejections(refined: DataFrame) -> DataFrame:
@@ -171,12 +186,25 @@ def rejections(refined: DataFrame) -> DataFrame:
     return refined.filter("reason <> 'ok'").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def _collapsed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def _instruction(low: Column) -> Column:
+    found = F.lit(False)
+    for m in IMPERATIVES:
+        found |= low.startswith(m)
+    return found
+
+
 def noisy_sentence(c: Column) -> Column:
     """The collapsed sentence, null if it is short, long, a question, an instruction or part of a page's interface."""
-    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    low = F.lower(x)
-    bad = (F.length(x) < 15) | (F.length(x) > 320) | x.endswith("?") | low.rlike(f"^({'|'.join(IMPERATIVES)})") | F.exists(F.array(*[F.lit(m) for m in UI_MARKERS]), lambda m: F.contains(low, m))
-    return F.when(~bad, x)
+
+    def judged(x: Column) -> Column:
+        bad = (F.length(x) < 15) | (F.length(x) > 320) | x.endswith("?")
+        return F.when(~bad & let(F.lower(x), lambda low: ~_instruction(low) & ~_has_marker(low)), x)
+
+    return let(_collapsed(c), judged)
 
 
 def has_predicate(c: Column) -> Column:
@@ -187,12 +215,13 @@ def has_predicate(c: Column) -> Column:
 
 def sentence_score(c: Column) -> Column:
     """0 to 1: how likely a sentence states a fact."""
-    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    low = F.lower(x)
-    ui = F.exists(F.array(*[F.lit(m) for m in UI_MARKERS]), lambda m: F.contains(low, m))
-    ask = low.rlike(f"^({'|'.join(IMPERATIVES)})") | x.endswith("?")
-    raw = F.lit(5) + F.when(has_predicate(x), 2).otherwise(0) + F.when(F.length(x).between(40, 220), 1).otherwise(0) - F.when(ui, 5).otherwise(0) - F.when(ask, 3).otherwise(0)
-    return F.when(x == "", 0.0).otherwise(F.greatest(F.lit(0), F.least(F.lit(10), raw)) / 10)
+
+    def judged(x: Column, low: Column) -> Column:
+        ask = _instruction(low) | x.endswith("?")
+        raw = F.lit(5) + F.when(has_predicate(x), 2).otherwise(0) + F.when(F.length(x).between(40, 220), 1).otherwise(0) - F.when(_has_marker(low), 5).otherwise(0) - F.when(ask, 3).otherwise(0)
+        return F.when(x == "", 0.0).otherwise(F.greatest(F.lit(0), F.least(F.lit(10), raw)) / 10)
+
+    return let(_collapsed(c), lambda x: let(F.lower(x), lambda low: judged(x, low)))
 
 
 def sentence_reason(c: Column) -> Column:
