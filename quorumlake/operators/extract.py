@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.small import checked_broadcast
 from .refine import map_predicate
 
 # fixed values
@@ -118,7 +119,7 @@ def honours(rows: DataFrame, allowed: DataFrame, id_col: str = "page_id") -> Dat
     cells = rows.filter(F.size("cells") >= 3).select(id_col, F.col("cells")[0].alias("club"), F.col("cells")[1].alias("competition"), F.explode(F.regexp_extract_all(F.col("cells")[2], F.lit(r"\b([12][0-9]{3})\b"), F.lit(1))).alias("year"))
     known = allowed.select(T.fold_key(F.col("club")).alias("k1"), T.fold_key(F.col("competition")).alias("k2"), F.col("club").alias("subject"), F.col("competition").alias("object"))
     hit = (T.fold_key(F.col("club")) == F.col("k1")) & (T.fold_key(F.col("competition")) == F.col("k2"))
-    return cells.join(F.broadcast(known), hit).select(id_col, "subject", F.lit("VENCEU").alias("predicate"), "object", F.col("year").cast("int"))
+    return cells.join(known, hit).select(id_col, "subject", F.lit("VENCEU").alias("predicate"), "object", F.col("year").cast("int"))
 
 
 def geo_cities(entries: DataFrame, stadiums: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def geo_cities(entries: DataFrame, stadiums: DataFrame) -> DataFrame:
     rows = entries.select(F.from_json("json", schema).alias("j")).select("j.*").filter(~F.coalesce(F.col("class"), F.lit("")).isin("highway", "office", "railway"))
     city = F.coalesce(F.col("address")["city"], F.col("address")["town"], F.col("address")["municipality"])
     rows = rows.select("place_id", T.fold_key(F.col("name")).alias("n"), city.alias("city")).filter("city is not null")
-    hit = rows.join(F.broadcast(stadiums), F.contains("n", T.fold_key(F.col("alias"))))
+    hit = rows.join(checked_broadcast(stadiums), F.contains("n", T.fold_key(F.col("alias"))))
     one = hit.groupBy("place_id", "city").agg(F.count_distinct("stadium").alias("k"), F.min("stadium").alias("stadium")).filter("k = 1")
     out = one.groupBy("stadium").agg(F.count_distinct(T.fold_key(F.col("city"))).alias("k"), F.min("city").alias("city")).filter("k = 1")
     return out.select(F.col("stadium").alias("subject"), F.lit("LOCALIZADO_EM").alias("predicate"), F.col("city").alias("object"))
@@ -149,7 +150,7 @@ def cooccurrences(rows: DataFrame, first: DataFrame, second: DataFrame, id_col:
     s = rows.select(id_col, F.posexplode(T.sentences(F.col("text"))).alias("n", "s")).withColumn("k", T.fold_span(F.col("s")))
     a = first.select(F.col("name").alias("a"))
     b = second.select(F.col("name").alias("b"))
-    hit = s.join(F.broadcast(a), F.contains("k", T.fold_span(F.col("a")))).join(F.broadcast(b), F.contains("k", T.fold_span(F.col("b"))))
+    hit = s.join(checked_broadcast(a), F.contains("k", T.fold_span(F.col("a")))).join(checked_broadcast(b), F.contains("k", T.fold_span(F.col("b"))))
     return hit.groupBy(id_col, "a", "b").agg(F.count("*").alias("sentences"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.small import checked_broadcast
 
 QUORUM = 3
 
@@ -186,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
 def search_context(edges: DataFrame, words: DataFrame, top: int = 8) -> DataFrame:
     """Edges whose subject or object contains a keyword (words: keyword), distinct, in order. Keywords are a handful; they are broadcast."""
     hit = F.contains(F.lower("subject"), F.lower("keyword")) | F.contains(F.lower("object"), F.lower("keyword"))
-    return edges.join(F.broadcast(words), hit, "left_semi").distinct().orderBy("subject", "predicate", "object").limit(top)
+    return edges.join(checked_broadcast(words), hit, "left_semi").distinct().orderBy("subject", "predicate", "object").limit(top)
 
 
 def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:

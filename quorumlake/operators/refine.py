@@ -175,7 +175,7 @@ def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | Non
     loop = F.when(F.col("c_subject") == F.col("c_object"), "self_loop")
     out = out.withColumn("reason", F.coalesce(F.when(p != "ok", p), missing, s, o, loop, F.lit("ok")))
     if pair_aliases is not None:
-        pairs = F.broadcast(pair_aliases.select(F.col("subject").alias("c_subject"), F.col("object").alias("c_object"), F.col("old").alias("c_predicate"), F.col("new").alias("__new")))
+        pairs = pair_aliases.select(F.col("subject").alias("c_subject"), F.col("object").alias("c_object"), F.col("old").alias("c_predicate"), F.col("new").alias("__new"))
         out = out.join(pairs, ["c_subject", "c_object", "c_predicate"], "left").withColumn("c_predicate", F.coalesce("__new", "c_predicate")).drop("__new")
     confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence"), F.lit(0.5)))), 3)
     return out.withColumn("confidence", confidence).drop("c_subject_known", "c_object_known", "__why")
