@@ -138,15 +138,15 @@ def _(t):
 def triples(t):
     """Line items with a raw predicate by their keys."""
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("p_name").alias("subject"), raw_predicate(F.col("l_partkey") + F.col("l_linenumber")).alias("predicate"), F.concat("p_brand", F.lit(" "), "p_type").alias("object"), (1.2 - F.col("l_discount") * 10).alias("confidence"))
+    return rows.select(F.col("p_name").alias("subject"), raw_predicate(F.col("l_partkey") + F.col("l_linenumber")).alias("predicate"), F.concat("p_type", F.lit(" "), F.translate("p_brand", "#", "")).alias("object"), (1.2 - F.col("l_discount") * 10).alias("confidence"))
 
 
 def aliases(t):
     return R.alias_table(t("part").select(F.lit("RED WIDGETS").alias("canonical"), F.lit("The red-widget").alias("variant")).limit(1))
 
 
-_REFINED = f"""WITH r AS (SELECT CASE WHEN p_name = 'red widget' THEN 'RED WIDGETS' ELSE upper(p_name) END AS c_subject, upper(replace(p_brand, '#', '') || ' ' || p_type) AS c_object, mapped AS c_predicate,
-  round(greatest(0, least(1, 1.2 - l_discount * 10)), 3) AS confidence, CASE WHEN why <> 'ok' THEN why WHEN contains(p_brand, '#') THEN 'object_punctuated' ELSE 'ok' END AS reason
+_REFINED = f"""WITH r AS (SELECT CASE WHEN p_name = 'red widget' THEN 'RED WIDGETS' ELSE upper(p_name) END AS c_subject, upper(p_type || ' ' || replace(p_brand, '#', '')) AS c_object, mapped AS c_predicate,
+  round(greatest(0, least(1, 1.2 - l_discount * 10)), 3) AS confidence, why AS reason
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (VALUES {_VALUES}) v(i, raw, why, mapped) ON i = (l_partkey + l_linenumber) % {len(_RAW)})"""
 
 
