@@ -82,5 +82,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
 
 
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM p),
+f AS (SELECT s, min(doc_id) AS m FROM k GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k JOIN f USING (s) WHERE m < doc_id),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+r AS (SELECT e.doc_id, count(*) AS n_removed FROM e JOIN g USING (doc_id, j) GROUP BY 1),
+t AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY j) AS kept FROM e ANTI JOIN g USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL is given where it can express the query; the others are held against brute force in tests/llm."""
+    return {"op6_relative_lz_dedup": _OP6_SQL}

@@ -6,8 +6,9 @@ wherever they stand and one gram in five is kept. Documents that meet an earlier
 window is looked up by a 96-bit hash of its words and gets its first occurrence, and greedily, runs of windows that go on in step with
 their occurrence become factors. A window is looked up at every word, so also across the boundaries of factors.
 
-Two tables are shuffled: anchors, and windows of documents that share some. What a task sees more than once it answers
-itself, so a passage that a third of all documents hold is sent once a batch, not once a document.
+Copies of a whole document are one factor and aren't parsed. Of the others two tables are shuffled: anchors, and windows
+of documents that share some. What a task sees more than once it answers itself, in runs, so a passage that a third of all
+documents hold is sent once a batch, not once a document.
 """
 
 from __future__ import annotations
@@ -105,12 +106,20 @@ def _index(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[heads].view(np.int64)), pa.array(doc[heads], pa.int64()), others], ["anchor", "doc_id", "others"])
 
 
+def _digests(batches):
+    """(doc_id, hi, lo, words): a 128-bit hash of the words."""
+    for b in batches:
+        words = [(x or b"").split() for x in b.column("text").to_pylist()]
+        h = np.array([np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64) for w in words], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(w) for w in words], pa.int64())], ["doc_id", "hi", "lo", "words"])
+
+
 def _lookups(batches):
-    """(w, v, doc_id, pos, ref_doc, ref_pos): the windows at shared anchors. Those whose first occurrence in the batch is in a
-    smaller doc_id come with it, under a hash of their own; the others ask under the hash (w, v) of their words."""
+    """(w, v, doc_id, pos, run, ref_doc, ref_pos): the windows at shared anchors. Those whose first occurrence in the batch is in a
+    smaller doc_id come with it, in runs, under a hash of their own; the others ask one by one under the hash (w, v) of their words."""
     hashes = _Hashes()
     wide = WINDOW - GRAM + 1
-    names = ["w", "v", "doc_id", "pos", "ref_doc", "ref_pos"]
+    names = ["w", "v", "doc_id", "pos", "run", "ref_doc", "ref_pos"]
     for b in batches:
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         shared = b.column("anchors")
@@ -129,17 +138,35 @@ def _lookups(batches):
                 ask |= hit[s : s + n] & (g[s : s + n] == least)
             at = np.flatnonzero(ask & inside)
             w, v = _grams(h, WINDOW, _ODD[0], at), (_grams(h, WINDOW, _ODD[1], at) >> np.uint64(33)).astype(np.int64)
-            doc, pos = ids[first + rows[at]], at - starts[rows[at]]
+            row = rows[at]
+            doc, pos = ids[first + row], at - starts[row]
             order = np.lexsort((pos, doc, v, w))
-            w, v, doc, pos = w[order], v[order], doc[order], pos[order]
+            w_, v_ = w[order], v[order]
             lead = np.ones(len(w), bool)
-            lead[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
-            head = np.maximum.accumulate(np.where(lead, np.arange(len(w)), 0))
-            found = doc[head] < doc
-            w[found] = _mixed(w[found] ^ (doc[found].astype(np.uint64) * _ODD[1] + pos[found].astype(np.uint64)))
-            v[found] = -1
-            ref_doc, ref_pos = pa.array(doc[head], pa.int64(), mask=~found), pa.array(pos[head], pa.int32(), mask=~found)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v, pa.int32()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), ref_doc, ref_pos], names)
+            lead[1:] = (w_[1:] != w_[:-1]) | (v_[1:] != v_[:-1])
+            head = np.empty(len(w), np.int64)
+            head[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(w)), 0))]
+            found = np.flatnonzero(doc[head] < doc)  # in order of row and position
+            asks = np.setdiff1d(np.arange(len(w)), found, assume_unique=True)
+            ref_doc, ref_pos = doc[head[found]], pos[head[found]]
+            new = np.ones(len(found), bool)
+            new[1:] = (np.diff(row[found]) != 0) | (np.diff(pos[found]) != 1) | (np.diff(ref_doc) != 0) | (np.diff(ref_pos) != 1)
+            begin = np.flatnonzero(new)
+            run = np.diff(np.append(begin, len(found)))
+            runs = found[begin]
+            own = _mixed(w[runs] ^ (doc[runs].astype(np.uint64) * _ODD[1] + pos[runs].astype(np.uint64)))
+            none = np.zeros(len(asks), np.int64)
+            mask = np.append(np.ones(len(asks), bool), np.zeros(len(runs), bool))
+            columns = [
+                pa.array(np.append(w[asks], own).view(np.int64)),
+                pa.array(np.append(v[asks], np.full(len(runs), -1)), pa.int32()),
+                pa.array(doc[np.append(asks, runs)], pa.int64()),
+                pa.array(pos[np.append(asks, runs)], pa.int32()),
+                pa.array(np.append(none + 1, run), pa.int32()),
+                pa.array(np.append(none, ref_doc[begin]), pa.int64(), mask=mask),
+                pa.array(np.append(none, ref_pos[begin]), pa.int32(), mask=mask),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 FACTORS = "array<struct<start:int,words:int,ref_doc:bigint,ref_start:int>>"
@@ -154,18 +181,18 @@ def _parse(batches):
             words, factors, removed = (text.as_py() or b"").split(), [], 0
             if spans.is_valid and len(spans):
                 x = spans.values
-                pos, doc, ref = (x.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "ref_doc", "ref_pos"))
-                _, order = np.unique(pos, return_index=True)
-                pos, doc, ref = pos[order], doc[order], ref[order]
-                cover = np.zeros(len(words) + WINDOW + 1, np.int32)
+                pos, run, doc, ref = (x.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "run", "ref_doc", "ref_pos"))
+                order = np.lexsort((-run, pos))
+                pos, run, doc, ref = pos[order], run[order], doc[order], ref[order]
+                cover = np.zeros(len(words) + 1, np.int32)
                 np.add.at(cover, np.minimum(pos, len(words)), 1)
-                np.add.at(cover, np.minimum(pos + WINDOW, len(words)), -1)
+                np.add.at(cover, np.minimum(pos + run + WINDOW - 1, len(words)), -1)
                 gone = np.cumsum(cover)[: len(words)] > 0
                 removed = int(gone.sum())
                 words_kept = [w for w, g in zip(words, gone, strict=True) if not g]
-                cuts = np.flatnonzero((np.diff(pos) != 1) | (np.diff(doc) != 0) | (np.diff(ref) != 1)) + 1
+                cuts = np.flatnonzero((np.diff(pos) != run[:-1]) | (np.diff(doc) != 0) | (np.diff(ref) != run[:-1])) + 1
                 for a, z in zip([0, *cuts], [*cuts, len(pos)], strict=True):
-                    factors.append({"start": int(pos[a]), "words": int(z - a) + WINDOW - 1, "ref_doc": int(doc[a]), "ref_start": int(ref[a])})
+                    factors.append({"start": int(pos[a]), "words": int(pos[z - 1] + run[z - 1] - pos[a]) + WINDOW - 1, "ref_doc": int(doc[a]), "ref_start": int(ref[a])})
             else:
                 words_kept = words
             for column, value in zip(out, (len(words), removed, b" ".join(words_kept), factors), strict=True):
@@ -183,18 +210,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     no copies of each other and come back repeated. An empty table gives no rows; other columns aren't read.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    index = texts.filter("doc_id is not null").mapInArrow(_index, "anchor bigint, doc_id bigint, others array<bigint>")
+    known = texts.filter("doc_id is not null")
+    digests = cut(known.mapInArrow(_digests, "doc_id bigint, hi bigint, lo bigint, words bigint").filter(F.col("words") >= WINDOW))
+    least = digests.groupBy("hi", "lo").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("ref_doc < last").drop("last")
+    copies = cut(digests.join(least, ["hi", "lo"]).filter("ref_doc < doc_id").select(F.col("doc_id").alias("doc"), "ref_doc", (F.col("words") - WINDOW + 1).cast("int").alias("run")).distinct())
+    index = known.mapInArrow(_index, "anchor bigint, doc_id bigint, others array<bigint>")
     index = index.withColumn("n", F.sum(1 + F.size("others")).over(Window.partitionBy("anchor"))).filter("n > 1")
     shared = index.select("anchor", F.explode(F.concat(F.array("doc_id"), F.col("others"))).alias("doc"))
-    shared = cut(shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors")))
+    shared = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
+    shared = cut(shared.join(copies.select("doc"), "doc", "left_anti"))
     # both joins are left joins of the same rows, so that the texts are shuffled once
     asked = texts.join(shared, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "anchors")
-    windows = asked.mapInArrow(_only_shared, "w bigint, v int, doc_id bigint, pos int, ref_doc bigint, ref_pos int")
+    windows = asked.mapInArrow(_only_shared, "w bigint, v int, doc_id bigint, pos int, run int, ref_doc bigint, ref_pos int")
     first = Window.partitionBy("w", "v").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     windows = windows.withColumn("first_doc", F.first("doc_id").over(first)).withColumn("first_pos", F.first("pos").over(first))
     windows = windows.filter("ref_doc is not null or first_doc < doc_id")
-    span = F.struct("pos", F.coalesce("ref_doc", "first_doc").alias("ref_doc"), F.coalesce("ref_pos", "first_pos").alias("ref_pos"))
-    spans = windows.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(span).alias("spans"))
+    windows = windows.select(F.col("doc_id").alias("doc"), "pos", "run", F.coalesce("ref_doc", "first_doc").alias("ref_doc"), F.coalesce("ref_pos", "first_pos").alias("ref_pos"))
+    whole = copies.select("doc", F.lit(0).alias("pos"), "run", "ref_doc", F.lit(0).alias("ref_pos"))
+    spans = windows.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("pos", "run", "ref_doc", "ref_pos")).alias("spans"))
     found = texts.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
     return found.mapInArrow(_parse, f"doc_id bigint, words bigint, removed bigint, kept string, factors {FACTORS}")
 
