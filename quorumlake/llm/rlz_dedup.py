@@ -26,7 +26,7 @@ from .shared import cut
 
 WINDOW, GRAM = 13, 5
 #: Words that are hashed at once, and words whose hash a worker remembers. They bound memory, not results.
-BATCH, REMEMBERED = 1 << 19, 1 << 18
+BATCH, REMEMBERED = 1 << 18, 1 << 18
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -109,9 +109,13 @@ def _index(batches):
 def _digests(batches):
     """(doc_id, hi, lo, words): a 128-bit hash of the words."""
     for b in batches:
-        words = [(x or b"").split() for x in b.column("text").to_pylist()]
-        h = np.array([np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64) for w in words], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(w) for w in words], pa.int64())], ["doc_id", "hi", "lo", "words"])
+        found, n = [], []
+        for x in b.column("text"):
+            words = (x.as_py() or b"").split()
+            found.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            n.append(len(words))
+        h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int64())], ["doc_id", "hi", "lo", "words"])
 
 
 def _lookups(batches):
