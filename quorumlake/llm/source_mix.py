@@ -21,7 +21,7 @@ REPEATS = 3
 #: Slots that the whole mix has at least (as far as blocks of one word allow), and words in a block at most.
 SLOTS, BLOCK = 1 << 16, 4096
 #: Cells of [0, 1) for the lookup of a point among the cumulative weights, and documents a bucket of a source's run has, about.
-CELLS, BUCKET = 4096, 20_000
+CELLS, BUCKET = 4096, 2_000
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
