@@ -23,8 +23,10 @@ def with_keys(occ: DataFrame) -> DataFrame:
 def facts(occ: DataFrame, quorum: int = QUORUM) -> DataFrame:
     """One row a fact: spelling of its first occurrence, occurrences, confirming domains and urls; verified from `quorum` domains on."""
     first = F.min_by(F.struct("subject", "predicate", "object"), "seq")
-    out = with_keys(occ).groupBy("fact_key").agg(first.alias("f"), F.min("fact_hash").alias("fact_hash"), F.count("*").alias("occurrences"), F.count_distinct("domain").alias("domains"), F.count_distinct("url").alias("urls"))
-    return out.select("fact_key", "fact_hash", "f.*", "occurrences", "domains", "urls", (F.col("domains") >= quorum).alias("verified"))
+    out = with_keys(occ).groupBy("fact_key").agg(first.alias("f"), F.count("*").alias("occurrences"), F.count_distinct("domain").alias("domains"), F.count_distinct("url").alias("urls"))
+    # all spellings of a key have one hash, so it is worked out once a fact
+    digest = T.fact_hash(F.col("f.subject"), F.col("f.predicate"), F.col("f.object")).alias("fact_hash")
+    return out.select("fact_key", digest, "f.*", "occurrences", "domains", "urls", (F.col("domains") >= quorum).alias("verified"))
 
 
 def recount(facts_: DataFrame, occ: DataFrame, changed: DataFrame, quorum: int = QUORUM) -> DataFrame:
