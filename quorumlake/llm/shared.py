@@ -4,26 +4,62 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (tests, one machine) is a folder of our own set."""
+    """The folder named by spark.checkpoint.dir. On one machine (tests) a folder of our own where that is unset; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quorumlake-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_MADE: list[list[tuple[SparkSession, str]]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here, lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/quorumlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _MADE:
+        _MADE[-1].append((df.sparkSession, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote of these tables, once all that is read from them has been written elsewhere."""
+    for t in tables:
+        _delete(t.sparkSession, t._cut)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written by cut(); what was written on the way to it is deleted."""
+    _MADE.append([])
+    try:
+        out = cut(make())
+    finally:
+        made = _MADE.pop()
+    for spark, path in made:
+        if path != out._cut:
+            _delete(spark, path)
+    if _MADE:
+        _MADE[-1].append((out.sparkSession, out._cut))
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,7 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("own"))
         small = small.select("u", "v").union(small.select("own", "v")).filter("u <> v").distinct()
-        edges = cut(small)
+        before_edges, edges = edges, cut(small)
+        forget(before_edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
