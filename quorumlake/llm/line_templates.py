@@ -1,8 +1,10 @@
 """Line dedup by a log-template tree.
 
 Lines are parsed to a fixed depth: by their number of tokens, then by their first tokens, in which every token with a digit counts as a
-variable field. Lines that meet at a leaf are generalised there: a token stays if enough documents have it at its place, the
-others become variable. Lines of one template that recurs in enough documents are dropped, but for those of the first document.
+variable field. Lines that meet at a leaf are generalised there, frequent and rare ones alike: a token stays if enough documents have
+it at its place, the others become variable. A template also holds the lines of every template that it generalises, so values that are
+frequent on their own count with the rare ones. Lines of templates that recur in enough documents are dropped, but for those of
+each template's first document.
 """
 
 from __future__ import annotations
@@ -18,15 +20,12 @@ from .shared import cut
 
 #: Documents in which a template recurs, at least; first tokens that the tree is parsed by; share of a template's tokens that stay.
 DOCUMENTS, DEPTH, CONSTANT = 10, 3, 0.7
+#: Parts that the documents of one line are dealt over where lines meet their templates.
+SALTS = 16
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d", re.A)
 
 
-def _masked(line: str) -> list[str]:
-    tokens = line.split()
-    return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
-
-
 def _key(tokens: list[str]) -> int:
     h = xxhash.xxh3_64_intdigest("\x1f".join(tokens).encode("utf-8", "replace"))
     return h - (1 << 64) if h >> 63 else h
@@ -34,8 +33,11 @@ def _key(tokens: list[str]) -> int:
 
 def _keys(line: str) -> tuple[int, int] | None:
     """(leaf, line) of a line, none for a blank one."""
-    tokens = _masked(line)
-    return (_key([str(len(tokens)), *tokens[:DEPTH]]), _key(tokens)) if tokens else None
+    tokens = line.split()
+    if not tokens:
+        return None
+    lead = [FIELD if _DIGIT.search(t) else t for t in tokens[:DEPTH]]
+    return _key([str(len(tokens)), *lead]), _key(tokens)
 
 
 def _parsed(batches):
@@ -60,45 +62,78 @@ def _spelled(batches):
                     wanted.discard(k[1])
                     leaves.append(k[0])
                     lines.append(k[1])
-                    tokens.append(_masked(x))
+                    tokens.append(x.split())
         yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["leaf", "line", "tokens"])
 
 
+def _met(shapes: DataFrame) -> DataFrame:
+    """(leaf, template, general): templates and those that generalise them, from (leaf, template, tokens, anchor) with null fields.
+
+    A template that generalises another agrees with it in all tokens that it has, so also in its rarest one (its anchor):
+    they are joined on that and then compared. A template without tokens of its own beyond the leaf has the leaf as anchor.
+    """
+    some = shapes.select("leaf", F.col("template").alias("general"), F.col("tokens").alias("g_tokens"), "anchor").filter(F.exists("g_tokens", lambda x: x.isNull()))
+    places = F.filter(F.transform("tokens", lambda x, i: F.when(x.isNotNull(), F.struct(i.cast("int").alias("pos"), x.alias("token")))), lambda x: x.isNotNull() & (x["pos"] >= DEPTH))
+    own = shapes.select("leaf", "template", "tokens", F.explode(F.concat(places, F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("token"))))).alias("anchor"))
+    both = own.join(some, ["leaf", "anchor"]).filter(F.col("template") != F.col("general"))
+    fits = F.forall(F.zip_with("tokens", "g_tokens", lambda x, g: g.isNull() | g.eqNullSafe(x)), lambda x: x)
+    return both.filter(fits).select("leaf", "template", "general").distinct()
+
+
 def recurring(docs: DataFrame, least: int = DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, templates): the distinct (doc, leaf, line) of all rows with an id and a text, and (leaf, line, first, documents) of
-    each line whose template recurs in `least` or more documents, first of them the one with the least id."""
+    """(lines, templates): the distinct (doc, leaf, line) of all rows with an id and a text, and (leaf, line, firsts) of each line
+    of which a template recurs in `least` or more documents; firsts: the documents that keep it, those of least id of its templates."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
     lines = cut(texts.mapInArrow(_parsed, "doc bigint, leaf bigint, line bigint"))
     alike = cut(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc").alias("first")))
-    exact = alike.filter(F.col("n") >= least).select("leaf", "line", "first", F.col("n").alias("documents"))
-    rare = alike.filter(F.col("n") < least)
-    crowded = rare.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter((F.col("all") >= least) & (F.col("kinds") > 1)).select("leaf")
-    rare = rare.join(crowded, "leaf", "left_semi")
-    asked = rare.groupBy(F.col("first").alias("doc")).agg(F.collect_set("line").alias("wanted"))
+    crowded = alike.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter(F.col("all") >= least)
+    single = alike.join(crowded.filter("kinds = 1").select("leaf"), "leaf", "left_semi").select("leaf", "line", F.array("first").alias("firsts"))
+    several = alike.join(crowded.filter("kinds > 1").select("leaf"), "leaf", "left_semi")
+    asked = several.groupBy(F.col("first").alias("doc")).agg(F.collect_set("line").alias("wanted"))
     spelled = texts.join(asked, "doc").mapInArrow(_spelled, "leaf bigint, line bigint, tokens array<string>").dropDuplicates(["leaf", "line"])
-    each = cut(spelled.join(rare.select("leaf", "line", "n"), ["leaf", "line"]).select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token")))
-    common = each.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).select("leaf", "pos", "token", F.lit(True).alias("stays"))
-    placed = each.join(common, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("stays"), F.col("token")).otherwise(FIELD))
-    constant = F.count(F.when(F.col("token") != FIELD, True))
-    shaped = placed.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts"), (constant / F.count("*")).alias("share"))
-    shaped = cut(shaped.filter(F.col("share") >= CONSTANT).select("leaf", "line", F.to_json("parts").alias("template")))
-    holders = lines.join(shaped, ["leaf", "line"]).select("leaf", "template", "doc").distinct()
-    again = holders.groupBy("leaf", "template").agg(F.count("*").alias("documents"), F.min("doc").alias("first")).filter(F.col("documents") >= least)
-    general = shaped.join(again, ["leaf", "template"]).select("leaf", "line", "first", "documents")
-    return lines, cut(exact.unionByName(general))
-
-
-def drop_recurring(docs: DataFrame, least: int = DOCUMENTS) -> DataFrame:
-    """docs with `text` without the lines whose template recurs across documents, and with `lines` and `dropped`, counts of lines
-    that hold tokens; these three names replace columns of the same name.
-
-    The document of least doc_id keeps its lines of a template, all others lose theirs; a text may become empty. Lines left stay as they
-    are, in order; so do blank ones. Repeats within one document alone don't count. A null text stays null with 0 lines; rows with a
-    null doc_id are neither counted nor changed; rows repeated under a doc_id count as so many documents and are changed
-    alike. An empty table gives no rows.
+    each = cut(spelled.join(several, ["leaf", "line"]).select("leaf", "line", "n", "first", F.posexplode("tokens").alias("pos", "token")))
+    common = each.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
+    placed = each.join(common, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("all").isNotNull(), F.col("token")))
+    rarest = F.min(F.when(F.col("token").isNotNull() & (F.col("pos") >= DEPTH), F.struct("all", "pos", "token")))
+    shaped = placed.groupBy("leaf", "line", "n", "first").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts"), rarest.alias("rarest"))
+    shaped = shaped.withColumn("tokens", F.transform("parts", lambda x: x["token"]))
+    shaped = shaped.filter(F.size(F.array_compact("tokens")) >= CONSTANT * F.size("tokens")).withColumn("template", F.xxhash64(F.transform("tokens", lambda x: F.struct(x))))
+    leaf = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("token"))
+    anchor = F.when(F.col("rarest").isNotNull(), F.struct("rarest.pos", "rarest.token")).otherwise(leaf)
+    shaped = cut(shaped.select("leaf", "line", "n", "first", "template", "tokens", anchor.alias("anchor")))
+    kinds = shaped.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.first("anchor").alias("anchor"))
+    met = cut(_met(kinds).unionByName(kinds.select("leaf", "template", F.col("template").alias("general"))))
+    members = shaped.drop("tokens", "anchor").join(met, ["leaf", "template"])
+    per = cut(members.groupBy("leaf", "general").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("all"), F.min("first").alias("first")))
+    # documents are counted only where the counts of the lines don't settle it
+    unsettled = per.filter((F.col("kinds") > 1) & (F.col("most") < least) & (F.col("all") >= least)).select("leaf", "general")
+    held = _salted(members.join(unsettled, ["leaf", "general"]).select("leaf", "line", "general"), lines).select("leaf", "general", "doc").distinct()
+    counted = held.groupBy("leaf", "general").agg(F.count("*").alias("documents"))
+    again = cut(per.join(counted, ["leaf", "general"], "left").filter(F.coalesce("documents", "most") >= least).select("leaf", "general", F.col("first").alias("keeper")))
+    below = met.filter("template <> general").join(again, ["leaf", "general"]).select("leaf", F.col("template").alias("general"))
+    tops = again.join(below, ["leaf", "general"], "left_anti")
+    general = members.join(tops, ["leaf", "general"]).groupBy("leaf", "line").agg(F.collect_set("keeper").alias("firsts"))
+    return lines, cut(single.unionByName(general))
+
+
+def _salted(few: DataFrame, lines: DataFrame) -> DataFrame:
+    """few, keyed by (leaf, line), joined to lines; the documents of one line are dealt over SALTS parts."""
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(few, ["leaf", "line", "salt"]).drop("salt")
+
+
+def drop_recurring(docs: DataFrame, least: int = DOCUMENTS, counts: bool = True) -> DataFrame:
+    """docs with `text` without the lines whose template recurs across documents. With counts, `lines` and `dropped`, the numbers of
+    lines that hold tokens, are added and replace columns of the same name; without, all other columns stay as they are.
+
+    Of a template that no other recurring one generalises, the document of least doc_id keeps its lines, all others lose theirs; a text may
+    become empty. Of several such templates of one line each has its keeper (ties don't arise: ids are compared). Lines left stay
+    as they are, in order; so do blank ones. Repeats within one document alone don't count. A null text stays null with 0 lines; rows
+    with a null doc_id are neither counted nor changed; rows repeated under a doc_id are changed alike, and count as so many
+    documents of a line but as one where the documents of several lines are put together. An empty table gives no rows.
     """
     lines, templates = recurring(docs, least)
-    gone = lines.join(templates.select("leaf", "line", "first"), ["leaf", "line"]).filter("doc <> first")
+    gone = _salted(templates, lines).filter(~F.array_contains("firsts", F.col("doc")))
     gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
 
     @F.arrow_udf("struct<text:string,lines:bigint,dropped:bigint>")
@@ -122,5 +157,5 @@ def drop_recurring(docs: DataFrame, least: int = DOCUMENTS) -> DataFrame:
     def column(name: str) -> Column:
         return F.col(f"__new.{name}").alias(name)
 
-    new = ("text", "lines", "dropped")
+    new = ("text", "lines", "dropped") if counts else ("text",)
     return joined.select(*[column(c) if c in new else docs[c] for c in docs.columns], *[column(c) for c in new if c not in docs.columns])
