@@ -18,6 +18,9 @@ def brute(docs, items):
         for i, t in items:
             x = words(t)
             if len(x) < ss.SPAN:
+                at = next((a for a in range(len(w) - len(x) + 1) if w[a : a + len(x)] == x), None)
+                if len(x) >= ss.SHORT and at is not None and ((d, i) not in out or at < out[d, i][2]):
+                    out[d, i] = (len(x), len(x), at, 0)
                 continue
             width, best = min(len(x), ss.STRETCH), None
             for lead in range(-len(x) + 1, len(w)):
@@ -29,7 +32,7 @@ def brute(docs, items):
                     n = sum(same[a : a + width])
                     if n >= -(-width * 4 // 5) and (best is None or (-n, a + lead, a) < best):
                         best = (-n, a + lead, a)
-            if best:
+            if best and ((d, i) not in out or best < (-out[d, i][0], *out[d, i][2:])):
                 out[d, i] = (-best[0], width, best[1], best[2])
     return out
 
@@ -37,7 +40,7 @@ def brute(docs, items):
 def corpus(seed=1):
     r = random.Random(seed)
     vocab = ["the", "of", "and"] * 5 + [f"wé{i}" for i in range(60)]
-    items = [(i, " ".join(r.choices(vocab, k=r.choice((5, 9, 15, 40))))) for i in range(25)]
+    items = [(i, " ".join(r.choices(vocab, k=r.choice((3, 5, 7, 9, 15, 40))))) for i in range(25)]
     items += [(90, items[3][1].upper() + "."), (91, None), (92, ""), (None, items[3][1])]
     docs = []
     for d in range(120):
@@ -49,7 +52,7 @@ def corpus(seed=1):
             a = r.choice((0, 0, 5))
             parts[r.randrange(len(parts) + 1) : 0] = t[a:]
         docs.append((d, r.choice((" ", ", ", "\n")).join(parts)))
-    return [*docs, (200, None), (201, ""), (202, "long " * 30_000 + items[4][1]), (None, items[3][1]), docs[1], docs[1]], items
+    return [*docs, (200, None), (201, ""), (202, "long " * 30_000 + items[4][1]), (None, items[3][1]), (None, 'of no item at all'), docs[1], docs[1], (1, 'the clean twin of an id'), (1, 'then ' + items[6][1])], items
 
 
 def run(spark, docs, items):
@@ -67,15 +70,17 @@ def test_as_brute_force(spark):
     want = brute(docs, items)
     assert {(r.doc_id, r.item_id): (r.matched, r.compared, r.doc_word, r.item_word) for r in got} == want
     assert len(got) == len(want)
-    leaked = {d for d, _ in want}
-    assert sorted(map(str, (r.doc_id for r in clean.collect()))) == sorted(str(d) for d, _ in docs if d not in leaked)
+    rows = [(d, t) for d, t in docs if not brute([(d, t)], items)]
+    assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(map(str, rows))
+    assert (None, "of no item at all") in rows and (1, "the clean twin of an id") in rows
 
 
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     docs, items = corpus(2)
     monkeypatch.setattr(ss, "BROADCAST", 0)
-    got, _ = run(spark, docs[:-2], items)
+    got, clean = run(spark, docs, items)
     assert {(r.doc_id, r.item_id): (r.matched, r.compared, r.doc_word, r.item_word) for r in got} == brute(docs, items)
+    assert clean.count() == sum(not brute([x], items) for x in docs)
 
 
 def test_empty_tables(spark):
