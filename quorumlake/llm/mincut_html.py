@@ -219,7 +219,7 @@ def features(b: Block, in_article: bool) -> tuple[str, ...]:
 #: Counts (content, boilerplate) that stand in for a few blocks of each kind before any page is seen.
 PRIOR = {"links:2": (1, 30), "links:0": (30, 15), "words:1": (1, 10), "words:2": (2, 10), "words:3": (4, 8), "words:5": (12, 4), "words:6": (16, 2), "words:7": (16, 1), "words:8": (16, 1), "stops:0": (4, 25), "stops:2": (30, 6), "ends:True": (30, 8), "ends:False": (6, 25), "tag:p": (30, 6), "tag:li": (4, 14), "tag:h": (40, 4), "marks:True": (1, 6)}
 #: The same of kinds of markup.
-KINDS = {"article": (200, 2), "main": (80, 2), "none": (20, 20), "outside": (5, 30), "nav": (1, 120), "footer": (1, 120), "aside": (1, 120), "control": (1, 120), "hidden": (1, 120), "role": (1, 120), "name": (1, 120), "part": (2, 30), "header": (2, 40), "form": (8, 24)}
+KINDS = {"article": (200, 2), "main": (80, 2), "none": (20, 20), "outside": (5, 30), "nav": (1, 120), "footer": (1, 120), "aside": (1, 120), "control": (1, 120), "hidden": (1, 120), "role": (1, 120), "name": (1, 120), "part": (2, 30), "header": (2, 40), "form": (12, 20)}
 
 
 def _bounded(text: np.ndarray | float, markup: np.ndarray | float):
