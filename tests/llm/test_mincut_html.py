@@ -60,8 +60,8 @@ def test_wrappers_and_heads_that_say_nothing_of_the_article():
     for names in ("wrapper has-sidebar", "site with-header", "content social"):
         assert kept(PAGE.replace("<body>", f'<body class="{names}"><div class="{names}" id=page>')) == want
     assert kept(PAGE.replace("</head>", "")) == want
-    neutral = f"<form><div><h1>Title of it</h1><p>{LOREM}</p><p>{LOREM}</p><p>{LOREM}</p></div></form>"
-    assert kept(f"<html><head><title>x</title>{neutral}") == ["Title of it", LOREM, LOREM, LOREM]
+    neutral = f"<form><div><h1>How they lived in the old town by the river</h1><p>{LOREM}</p><p>{LOREM}</p><p>{LOREM}</p></div></form>"
+    assert kept(f"<html><head><title>x</title>{neutral}") == ["How they lived in the old town by the river", LOREM, LOREM, LOREM]
 
 
 def test_markup_can_lose():
