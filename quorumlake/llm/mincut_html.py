@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Pages that the classifier is fitted on, at most: those whose id has the least hash; rounds of expectation-maximisation.
 FIT_PAGES, ROUNDS = 2_000, 6
 #: Weight and bound of what the text says, bound of what the markup says, and capacities of edges between neighbours and between near blocks.
-TEXT_WEIGHT, TEXT, MARKUP, NEXT, NEAR = 0.6, 3.0, 5.0, 1.2, 1.0
+TEXT_WEIGHT, TEXT, MARKUP, NEXT, NEAR = 0.6, 3.0, 5.0, 2.0, 1.2
 #: How far the log-odds of a kind of markup may go from where they start.
 LEARNED = 1.0
 
