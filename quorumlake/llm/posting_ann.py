@@ -42,6 +42,7 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     norm: float
+    kind: str  # of the components as stored: f4 or f8
 
 
 def _lift(x: np.ndarray, norm: float) -> np.ndarray:
@@ -116,30 +117,33 @@ def search_centroids(index: Index, x: np.ndarray, ratio: float) -> np.ndarray:
         steps += 1
 
 
-def fit(vectors: DataFrame) -> Index | None:
-    """The index of (gid, v), v float32 bytes: on at most FIT rows, those of least hash. None without rows."""
+def fit(vectors: DataFrame, kind: str = "f4") -> Index | None:
+    """The index of (gid, v), v the bytes of its components: on at most FIT rows, those of least hash. None without rows."""
     n = vectors.count()
     if not n:
         return None
     rows = vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(FIT).collect()
-    x = np.stack([np.frombuffer(r.v, np.float32) for r in rows]).astype(np.float64)
+    x = np.stack([np.frombuffer(r.v, kind) for r in rows]).astype(np.float64)
 
     def largest(batches):
         for b in batches:
-            norms = [float(np.linalg.norm(np.frombuffer(v, np.float32).astype(np.float64))) for v in b.column("v").to_pylist()]
+            norms = [float(np.linalg.norm(np.frombuffer(v, kind).astype(np.float64))) for v in b.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([max(norms)] if norms else [], pa.float64())], ["norm"])
 
     norm = vectors.select("v").mapInArrow(largest, "norm double").agg(F.max("norm")).first()[0]
     lifted = _unit(_lift(x, norm)).astype(np.float32)
     k = int(min(max(1, n // LIST), LISTS, len(lifted)))
     c = _centroids(lifted, k)
-    return Index(c, _graph(c), norm)
+    return Index(c, _graph(c), norm, kind)
 
 
 def clean(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, vec) of rows that take part: vectors that aren't null or zero, hold no null, NaN or infinity, and have the length
-    that most of them have (the smaller of two such)."""
-    v = F.col(vector_col).cast("array<float>")
+    that most of them have (the smaller of two such), as there is no inner product of vectors of two lengths. Components of single
+    precision stay so, all others become doubles."""
+    v = F.col(vector_col)
+    if "array<float>" not in table.select(v).schema.simpleString():
+        v = v.cast("array<double>")
     rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("vec")).filter("vec_id is not null and size(vec) > 0")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(finite & F.exists("vec", lambda x: x != 0)).withColumn("n", F.size("vec"))
@@ -147,10 +151,10 @@ def clean(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return rows.join(F.broadcast(usual), "n", "left_semi").select("vec_id", "vec")
 
 
-def _packed(rows: DataFrame) -> DataFrame:
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            flat = [np.asarray(x, np.float32).tobytes() for x in b.column("vec").to_pylist()]
+            flat = [np.asarray(x, kind).tobytes() for x in b.column("vec").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(flat, pa.binary())], ["vec_id", "v"])
 
     return rows.mapInArrow(run, "vec_id bigint, v binary")
@@ -166,7 +170,7 @@ def _routed(rows: DataFrame, index: Index, ratio: float, copies: int | None = No
             gids, vs = b.column("gid").to_numpy(zero_copy_only=False), b.column("v").to_pylist()
             for i in range(0, len(vs), 256):
                 part = vs[i : i + 256]
-                x = np.frombuffer(b"".join(part), np.float32).reshape(len(part), -1).astype(np.float64)
+                x = np.frombuffer(b"".join(part), ix.kind).reshape(len(part), -1).astype(np.float64)
                 lifted = _lift(x, ix.norm) if copies else _unit(np.c_[x, np.zeros(len(x))]).astype(np.float32)
                 dist = search_centroids(ix, lifted, ratio)
 
@@ -182,27 +186,29 @@ def _routed(rows: DataFrame, index: Index, ratio: float, copies: int | None = No
     return rows.select("gid", "v").mapInArrow(run, "list int, gid bigint, v binary, near boolean")
 
 
-def _scored(keep: int):
+def _scored(keep: int, kind: str):
     def run(lists: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = {"qid": [], "gid": [], "score": []}
         if len(lists) and len(asks):
-            x = np.frombuffer(b"".join(lists.v), np.float32).reshape(len(lists), -1).astype(np.float64)
-            q = np.frombuffer(b"".join(asks.v), np.float32).reshape(len(asks), -1).astype(np.float64)
+            x = np.frombuffer(b"".join(lists.v), kind).reshape(len(lists), -1).astype(np.float64)
+            q = np.frombuffer(b"".join(asks.v), kind).reshape(len(asks), -1).astype(np.float64)
             scores, gids = q @ x.T, lists.gid.to_numpy()
-            scores[scores < asks.least.to_numpy()[:, None]] = -np.inf
+            # products round otherwise than the exact sums that `least` comes from
+            least = asks.least.to_numpy()[:, None]
+            scores[scores < least - 1e-9 * np.maximum(np.abs(np.where(np.isfinite(least), least, 0.0)), 1.0)] = -np.inf
             for i, qid in enumerate(asks.gid.to_numpy()):
                 at = np.flatnonzero(np.isfinite(scores[i]))
                 if len(at) > keep:
                     at = at[np.lexsort((gids[at], -scores[i][at]))[:keep]]
                 out["qid"] += [qid] * len(at)
                 out["gid"] += gids[at].tolist()
-                out["score"] += [fsum(q[i] * x[j]) for j in at]  # products of floats are exact, and so is their sum
+                out["score"] += [fsum(q[i] * x[j]) for j in at]  # of floats the products are exact, and the sum is for all
         return pd.DataFrame(out).astype({"qid": "int64", "gid": "int64", "score": "float64"})
 
     return run
 
 
-def _read(lists: DataFrame, reads: DataFrame, keep: int) -> DataFrame:
+def _read(lists: DataFrame, reads: DataFrame, keep: int, kind: str) -> DataFrame:
     """(qid, gid, score): of each list and each query that reads it, the best `keep` that score no less than `least`."""
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     sizes = cut(sizes.join(reads.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("reads")), "list"))
@@ -214,7 +220,7 @@ def _read(lists: DataFrame, reads: DataFrame, keep: int) -> DataFrame:
 
     key = ["list", "in_parts", "in_reads"]
     pairs = dealt(lists, "parts", "reads").groupBy(*key).cogroup(dealt(reads, "reads", "parts").groupBy(*key))
-    return pairs.applyInPandas(_scored(keep), "qid bigint, gid bigint, score double")
+    return pairs.applyInPandas(_scored(keep, kind), "qid bigint, gid bigint, score double")
 
 
 def neighbours(table: DataFrame, queries: DataFrame | None = None, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -224,25 +230,27 @@ def neighbours(table: DataFrame, queries: DataFrame | None = None, k: int = 20,
     A query is no candidate of its own; an id that comes twice with one vector counts once, with several vectors as so many
     rows. An empty table gives no rows. Other columns aren't read.
     """
-    rows = cut(_packed(clean(table, id_col, vector_col)).distinct())
+    cleaned = clean(table, id_col, vector_col)
+    kind = "f4" if "array<float>" in cleaned.schema.simpleString() else "f8"
+    rows = cut(_packed(cleaned, kind).distinct())
     asks = rows.filter(F.col("vec_id") % every == 0) if queries is None else rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
     # of equal vectors the k + 1 least ids are enough: one of them may be the query
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     groups = rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     groups = cut(groups.select(F.col("ids")[0].alias("gid"), "v", "ids"))
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    index = fit(groups)
+    index = fit(groups, kind)
     if index is None:
         return rows.sparkSession.createDataFrame([], schema)
     asks = cut(asks.join(groups.select("v", "gid"), "v").select(F.col("vec_id").alias("query_id"), "gid"))
     distinct = groups.join(asks.select("gid").distinct(), "gid", "left_semi")
     lists = cut(_routed(groups, index, CLOSE, COPIES).drop("near"))
     reads = cut(_routed(distinct, index, READ))
-    first = cut(_read(lists, reads.filter("near").withColumn("least", F.lit(float("-inf"))), k + 1).distinct())
+    first = cut(_read(lists, reads.filter("near").withColumn("least", F.lit(float("-inf"))), k + 1, kind).distinct())
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "gid"))
     least = first.withColumn("r", nth).filter(F.col("r") == k + 1).select(F.col("qid").alias("gid"), F.col("score").alias("least"))
     later = reads.filter("not near").join(least, "gid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    found = first.union(_read(lists, later, k + 1)).distinct()
+    found = first.union(_read(lists, later, k + 1, kind)).distinct()
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "gid")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     each = found.join(groups.select("gid", "ids"), "gid").select("qid", "score", F.explode("ids").alias("vec_id"))

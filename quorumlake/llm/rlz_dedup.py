@@ -188,15 +188,17 @@ def _parse(batches):
                 pos, run, doc, ref = (x.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "run", "ref_doc", "ref_pos"))
                 order = np.lexsort((-run, pos))
                 pos, run, doc, ref = pos[order], run[order], doc[order], ref[order]
+                cuts = np.flatnonzero((np.diff(pos) != run[:-1]) | (np.diff(doc) != 0) | (np.diff(ref) != run[:-1])) + 1
+                first = np.append(0, cuts)
+                size = np.maximum.reduceat(pos + run, first) - pos[first] + WINDOW - 1
+                factors = [{"start": int(a), "words": int(n), "ref_doc": int(d), "ref_start": int(r)} for a, n, d, r in zip(pos[first], size, doc[first], ref[first], strict=True)]
+                # what the factors cover goes; each holds a window, and those at their boundaries were looked up like all others
                 cover = np.zeros(len(words) + 1, np.int32)
-                np.add.at(cover, np.minimum(pos, len(words)), 1)
-                np.add.at(cover, np.minimum(pos + run + WINDOW - 1, len(words)), -1)
+                np.add.at(cover, np.minimum(pos[first], len(words)), 1)
+                np.add.at(cover, np.minimum(pos[first] + size, len(words)), -1)
                 gone = np.cumsum(cover)[: len(words)] > 0
                 removed = int(gone.sum())
                 words_kept = [w for w, g in zip(words, gone, strict=True) if not g]
-                cuts = np.flatnonzero((np.diff(pos) != run[:-1]) | (np.diff(doc) != 0) | (np.diff(ref) != run[:-1])) + 1
-                for a, z in zip([0, *cuts], [*cuts, len(pos)], strict=True):
-                    factors.append({"start": int(pos[a]), "words": int(pos[z - 1] + run[z - 1] - pos[a]) + WINDOW - 1, "ref_doc": int(doc[a]), "ref_start": int(ref[a])})
             else:
                 words_kept = words
             for column, value in zip(out, (len(words), removed, b" ".join(words_kept), factors), strict=True):

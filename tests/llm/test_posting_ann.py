@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -67,3 +69,13 @@ def test_fewer_than_k_and_empty(spark):
     got = pa.neighbours(table(spark, [(0, [1, 0]), (1, [0, 1]), (20, [1, 1])])).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 1, 0.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0)]
     assert pa.neighbours(table(spark, [])).count() == 0
+
+
+def test_double_vectors_keep_their_precision(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 8)) * 10.0 ** r.integers(-3, 4, (300, 1)))] + [(400, [1e39, *[0.0] * 6, 1.0])]
+    docs = spark.createDataFrame([(i, v) for i, v in rows], "vec_id bigint, embedding array<double>")
+    x = dict(rows)
+    got = pa.neighbours(docs, k=5).collect()
+    want = {q: sorted((-math.fsum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x if i != q)[:5] for q in x if q % 20 == 0}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == {(q, k + 1): (i, -s) for q, best in want.items() for k, (s, i) in enumerate(best)}
