@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăąćčďđęěğłńňőřśşšťţůűźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaccddeeglnnorsssttuuzzz"
+
+def _plain_letters() -> tuple[str, str]:
+    """Characters that stand for one ASCII letter or digit with marks or in another shape (compatibility decomposition), and these."""
+    found = {}
+    for i in (*range(0xA0, 0x3000), *range(0xFF00, 0xFFF0)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c)).lower()
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            found[chr(i)] = plain
+    return "".join(found), "".join(found.values())
+
+
+_ACCENTED, _PLAIN = _plain_letters()
 # fixed values
 LEADING_ARTICLES = ("o", "a", "os", "as", "um", "uma", "uns", "umas", "the", "an", "this", "that", "these", "those")
 KEYWORD_STOPWORDS = ("a", "o", "as", "os", "um", "uma", "de", "do", "da", "dos", "das", "e", "em", "no", "na", "que", "com", "por", "para", "se", "the", "of", "and", "to", "in", "is", "on", "for")
 
 
 def unaccent(c: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    """Lower case without accents, composed or decomposed; other shapes of a letter become it, and ligatures of f their letters."""
+    x = F.lower(c)
+    for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        x = F.replace(x, F.lit(joined), F.lit(letters))
+    return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"\p{M}", "")
 
 
 def fold_span(c: Column) -> Column:

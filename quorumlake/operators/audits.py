@@ -12,23 +12,67 @@ from . import graph as G
 HIGH, MEDIUM = 0.85, 0.60
 
 
-def pairs(facts: DataFrame, block: tuple[str, ...] = ("predicate",)) -> DataFrame:
-    """Pairs of facts (id, subject, predicate, object, domains) that share a block and a token of subject or object, left id first.
+def similar_pairs(names: DataFrame, least: float = MEDIUM) -> DataFrame:
+    """(a, b, sim): pairs of different normed names (name), in both orders, of similarity `least` (0.6 or more) or more, each worked out once.
 
-    Facts of no common predicate or token are not compared; token buckets keep this a join on keys instead of all pairs.
+    None is lost: names alike by their words share a word. Of names alike by their sequence of characters, of L characters together, at least
+    0.3 L match in order and at most 0.4 L don't, so where L is over 10 some two neighbouring matches have at most one
+    unmatched character between them on one side: two characters at distance 1 or 2 in both. Of shorter ones, one name has
+    at most 5 characters and shares one with the other. Names are joined on these keys; lengths and letters in common bound the rest.
+    """
+    names = names.select("name").filter("name <> ''").distinct()
+    keyed = names.select("name", F.length("name").alias("n"))
+    chars = F.split("name", "")
+    words = F.transform(S.tokens(F.col("name")), lambda w: F.concat(F.lit("w"), w))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.array(F.concat(F.lit("g"), F.substr("name", i, F.lit(1)), F.substr("name", i + 1, F.lit(1))), F.concat(F.lit("g"), F.substr("name", i, F.lit(1)), F.substr("name", i + 2, F.lit(1))))))
+    single = F.when(F.col("n") <= 9, F.transform(chars, lambda x: F.concat(F.lit("c"), x))).otherwise(F.array().cast("array<string>"))
+    keyed = keyed.select("name", "n", F.explode(F.array_distinct(F.concat(words, grams, single))).alias("key"))
+    left, right = keyed.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "key"), keyed.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "key")
+    found = left.join(right, "key").filter("a < b").select("a", "b", "n_a", "n_b").distinct()
+    # at most so many characters match in order as both names have of each
+    letters = F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "])
+
+    def times(c: str, x):
+        return F.length(c) - F.length(F.replace(c, x, F.lit("")))
+
+    common = F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.least(times("a", x), times("b", x)))
+    jaccard = F.round(S.jaccard(S.tokens(F.col("a")), S.tokens(F.col("b"))), 4)
+    found = found.withColumn("words_sim", jaccard).filter((F.col("words_sim") >= least) | (2 * common >= (least - 1e-4) * (F.col("n_a") + F.col("n_b"))))
+    found = found.withColumn("sim", F.greatest("words_sim", F.round(S.sequence_ratio(F.col("a"), F.col("b")), 4))).filter(F.col("sim") >= least).select("a", "b", "sim")
+    return found.union(found.select("b", "a", "sim"))
+
+
+def pairs(facts: DataFrame) -> DataFrame:
+    """Pairs of facts (id, subject, predicate, object, domains), l_id < r_id, that may match in any tier, with subject_sim and object_sim.
+
+    Those whose subjects and objects are both similar (MEDIUM or more), of one or of two predicates, and those of which one of
+    the two is equal; of the latter a similarity below MEDIUM is given as 0. Similarity is worked out between distinct names, then
+    joined back to facts.
     """
     normed = facts.select("id", "predicate", "domains", S.norm(F.col("subject")).alias("s"), S.norm(F.col("object")).alias("o"))
-    keys = normed.select("id", *block, F.explode(F.array_distinct(F.concat(S.tokens(F.col("s")), S.tokens(F.col("o"))))).alias("token"))
-    left, right = keys.select(F.col("id").alias("l"), *block, "token"), keys.select(F.col("id").alias("r"), *block, "token")
-    found = left.join(right, [*block, "token"]).filter("l < r").select("l", "r").distinct()
-    a = normed.select(*[F.col(c).alias(f"l_{c}") for c in normed.columns])
-    b = normed.select(*[F.col(c).alias(f"r_{c}") for c in normed.columns])
-    return found.join(a, F.col("l") == F.col("l_id")).join(b, F.col("r") == F.col("r_id")).drop("l", "r")
+    l = normed.select(*[F.col(c).alias(f"l_{c}") for c in normed.columns])
+    r = normed.select(*[F.col(c).alias(f"r_{c}") for c in normed.columns])
+    subjects = similar_pairs(normed.select(F.col("s").alias("name")))
+    objects = similar_pairs(normed.select(F.col("o").alias("name")))
+    same_s = l.filter("l_s <> ''").join(r, F.col("l_s") == F.col("r_s")).filter("l_id < r_id").withColumn("subject_sim", F.lit(1.0))
+    near_s = l.join(subjects, F.col("l_s") == F.col("a")).join(r, F.col("b") == F.col("r_s")).filter("l_id < r_id").withColumn("subject_sim", F.col("sim")).drop("a", "b", "sim")
+    o = objects.select(F.col("a").alias("o_a"), F.col("b").alias("o_b"), F.col("sim").alias("o_sim"))
+    both = (F.col("l_o") == F.col("o_a")) & (F.col("r_o") == F.col("o_b"))
+    equal = (F.col("l_o") == F.col("r_o")) & (F.col("l_o") != "")
+    known = F.when(equal, 1.0).otherwise(F.coalesce("o_sim", F.lit(0.0)))
+    first = same_s.join(o, both, "left").withColumn("object_sim", known)
+    second = near_s.join(o, both, "left").withColumn("object_sim", known).filter("object_sim > 0")
+    # equal objects of subjects that aren't similar
+    third = l.filter("l_o <> ''").join(r, F.col("l_o") == F.col("r_o")).filter("l_id < r_id and l_s <> r_s")
+    s = subjects.select(F.col("a").alias("s_a"), F.col("b").alias("s_b"))
+    third = third.join(s, (F.col("l_s") == F.col("s_a")) & (F.col("r_s") == F.col("s_b")), "left_anti").withColumn("subject_sim", F.lit(0.0)).withColumn("object_sim", F.lit(1.0))
+    columns = [*l.columns, *r.columns, "subject_sim", "object_sim"]
+    return first.select(columns).union(second.select(columns)).union(third.select(columns))
 
 
 def scored(found: DataFrame) -> DataFrame:
-    out = found.withColumn("subject_sim", S.similarity(F.col("l_s"), F.col("r_s"))).withColumn("object_sim", S.similarity(F.col("l_o"), F.col("r_o")))
-    return out.withColumn("score", F.round(F.greatest("subject_sim", "object_sim"), 4))
+    """pairs() with the score of each: the larger of its similarities, of which one is MEDIUM or more."""
+    return found.withColumn("score", F.round(F.greatest("subject_sim", "object_sim"), 4))
 
 
 def near_matches(found: DataFrame, high: float = HIGH, medium: float = MEDIUM) -> DataFrame:

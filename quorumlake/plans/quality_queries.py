@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import audits as U
 from ..operators import graph as G
 from ..operators import refine as R
@@ -12,7 +13,7 @@ from .bindings import FACTS, OCC, occurrences
 from .registry import query
 
 _HOST = "regexp_replace(regexp_extract(lower(url), '^(?:[a-z]+://)?(?:[^/@]*@)?([^/:?#]+)', 1), '^www[.]', '')"
-_FOLD = "trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(strip_accents(replace(lower(text), 'ß', ' ')), '[^a-z0-9]+', ' ', 'g'))"
 _FLAT = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
@@ -24,9 +25,9 @@ def _list(words):
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query("c02_fold", f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents WHERE NOT contains(text, 'ß')")
+@query("c02_fold", f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
 def _(t):
-    return t("documents").filter(~F.contains("text", F.lit("ß"))).select("doc_id", F.md5(T.fold_span(F.col("text"))).alias("folded"))
+    return t("documents").select("doc_id", F.md5(T.fold_span(F.col("text"))).alias("folded"))
 
 
 @query("c01_fold_key", "SELECT n_nationkey, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower('The A ' || n_name || '-X.'), '[_-]+', ' ', 'g'), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')), '^(?:(?:the|a|o) )+', '') AS key FROM nation")
@@ -84,17 +85,17 @@ _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM doc
 _L = _FLAT.format(x="x")
 
 
-@query("f03_noisy_sentences", f"WITH {_LINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (length({_L}) BETWEEN 15 AND 320 AND NOT ends_with({_L}, '?') AND NOT regexp_matches(lower({_L}), '^({'|'.join(R.IMPERATIVES)})') AND NOT {_any(R.UI_MARKERS, f'lower({_L})')}) AS kept FROM l GROUP BY 1")
+@query("f03_noisy_sentences", f"WITH {_LINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (length({_L}) BETWEEN 15 AND 320 AND NOT ends_with({_L}, '?') AND NOT regexp_matches(lower({_L}), '^({'|'.join(V.IMPERATIVES)})') AND NOT {_any(V.UI_MARKERS, f'lower({_L})')}) AS kept FROM l GROUP BY 1")
 def _(t):
     rows = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count(R.noisy_sentence(F.col("x"))).alias("kept"))
 
 
-_FORMS = [k for k in sorted(R.predicate_map()) if " " not in k]
+_FORMS = [k for k in sorted(V.predicate_forms()) if " " not in k]
 
 
 @query("f04_sentence_scores", f"""WITH {_LINES}, s AS (SELECT {_L} AS x FROM l), v AS (SELECT x, lower(x) AS low, list_has_any(string_split(trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g')), ' '), {_list(_FORMS).replace('(', '[').replace(')', ']')}) AS p FROM s)
-SELECT CASE WHEN x = '' THEN 0.0 ELSE greatest(0, least(10, 5 + CASE WHEN p THEN 2 ELSE 0 END + CASE WHEN length(x) BETWEEN 40 AND 220 THEN 1 ELSE 0 END - CASE WHEN {_any(R.UI_MARKERS, 'low')} THEN 5 ELSE 0 END - CASE WHEN regexp_matches(low, '^({'|'.join(R.IMPERATIVES)})') OR ends_with(x, '?') THEN 3 ELSE 0 END)) / 10 END::DOUBLE AS score, count(*) AS n FROM v GROUP BY 1""")
+SELECT CASE WHEN x = '' THEN 0.0 ELSE greatest(0, least(10, 5 + CASE WHEN p THEN 2 ELSE 0 END + CASE WHEN length(x) BETWEEN 40 AND 220 THEN 1 ELSE 0 END - CASE WHEN {_any(V.UI_MARKERS, 'low')} THEN 5 ELSE 0 END - CASE WHEN regexp_matches(low, '^({'|'.join(V.IMPERATIVES)})') OR ends_with(x, '?') THEN 3 ELSE 0 END)) / 10 END::DOUBLE AS score, count(*) AS n FROM v GROUP BY 1""")
 def _(t):
     rows = t("documents").select(F.explode(F.split("text", "\n")).alias("x"))
     return rows.groupBy(R.sentence_score(F.col("x")).cast("double").alias("score")).agg(F.count("*").alias("n"))
@@ -208,11 +209,11 @@ def _(t):
 
 
 def _facts(t):
-    """Suppliers and customers of a nation as facts with near names."""
-    c = t("customer").filter("c_custkey % 10 = 0")
-    d = F.array(F.concat(F.lit("d"), F.col("c_nationkey") % 6))
+    """Customers of a nation and segment as facts with near names: one fact for each triple, with the domains that state it."""
     word = F.element_at(F.array(*[F.lit(x) for x in ("santos fc", "santos futebol clube", "santos f c", "vasco da gama", "vasco gama", "flamengo")]), (F.col("c_nationkey") % 6 + 1).cast("int"))
-    return c.select(F.col("c_custkey").alias("id"), F.concat(word, F.lit(" "), F.col("c_custkey") % 40).alias("subject"), F.col("c_mktsegment").alias("predicate"), F.concat(F.lit("title "), F.col("c_custkey") % 50).alias("object"), d.alias("domains"))
+    won = F.element_at(F.array(*[F.lit(x) for x in ("copa do brasil", "supercopa", "estadual", "mundial", "torneio rio", "libertadores", "taça", "recopa")]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    rows = t("customer").select("c_custkey", F.concat(word, F.lit(" "), F.col("c_custkey") % 40).alias("subject"), F.col("c_mktsegment").alias("predicate"), F.concat(won, F.lit(" "), F.col("c_custkey") % 50).alias("object"), F.concat(F.lit("d"), F.col("c_nationkey")).alias("domain"))
+    return rows.groupBy("subject", "predicate", "object").agg(F.min("c_custkey").alias("id"), F.array_sort(F.collect_set("domain")).alias("domains"))
 
 
 @query("a15_near_match_report")

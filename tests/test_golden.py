@@ -1,10 +1,15 @@
 """Literal cases: what goes in and what must come out."""
 
+import random
+from difflib import SequenceMatcher
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.functions import similarity as S
 from quorumlake.functions import text as T
+from quorumlake.functions import vocabulary as V
 from quorumlake.operators import accounting as A
 from quorumlake.operators import audits as U
 from quorumlake.operators import extract as X
@@ -34,9 +39,16 @@ def test_similarity(spark):
 
 
 def test_predicates_and_spans(spark):
-    assert column(spark, ["usa", "É", "publicaram", "poder", "aumentou", "2020", "the", "story", "sign", "xyzzy", "a=b", None], R.predicate_reason) == [
+    assert column(spark, ["usa", "É", "publicou", "poder", "aumentou", "2020", "the", "story", "sign", "xyzzy", "a=b", None], R.predicate_reason) == [
         "ok", "ok", "ok", "modal_predicate", "ambiguous_predicate", "numeric_predicate", "stopword_predicate", "nonverbal_predicate", "unmapped_predicate", "invalid_predicate", "url_or_code_predicate", "invalid_predicate",
     ]
+    forms = V.predicate_forms()
+    assert column(spark, list(forms), R.map_predicate) == list(forms.values())
+    assert column(spark, ["eram", "jogou pelo", "connected", "user friendly", "preserva", "coaches", "xyz"], R.map_predicate) == ["SER", "DEFENDEU", "CONECTA_A", "É_AMIGÁVEL", "PRESERVA", "TREINOU", None]
+    spans = {"Rio Branco": None, "em Santos": "object_prepositional_phrase", "Although big": "object_prepositional_phrase", "o que vier": "object_clause_fragment", "regra geral que mapeia": "object_clause_fragment", "enfim": "object_generic_phrase", "E O": "object_predicate_complement"}
+    spans |= {"primeira divisão": None, "século XX": "object_date_like", "na década de 1990": "object_date_like", "anos 90": "object_date_like", "my house": "object_pronoun", "since 1990 he": "object_adverbial_phrase", "known for his dribbling": "object_predicate_complement", "seven years older than Pelé": "object_predicate_complement"}
+    assert column(spark, list(spans), lambda c: R.span_reason(c, "object", None, F.lit("SER"))) == list(spans.values())
+    assert column(spark, ["ação nova", "a\u0327c\u0303a\u0303o nova".replace("a\u0327", "a"), "ｆｕｌｌ ² ﬁm"], T.fold_span) == ["acao nova", "acao nova", "full 2 fim"]
     got = column(spark, ["Pelé", "de Santos", "cada um", "ele", "x" * 70, ""], lambda c: R.span_reason(c, "subject"))
     assert got == [None, "subject_starts_with_stopword", "subject_quantifier_phrase", "subject_generic_phrase", "subject_too_long", "subject_generic_phrase"]
     assert column(spark, ["ok", "Click here", "Esta frase utiliza um predicado bem conhecido de todos."], R.noisy_sentence) == [None, None, "Esta frase utiliza um predicado bem conhecido de todos."]
@@ -96,8 +108,39 @@ def test_near_matches(spark):
         "id int, subject string, predicate string, object string, domains array<string>",
     )
     found = U.near_matches(U.scored(U.pairs(facts)))
-    assert {(r.l_id, r.r_id, r.tier) for r in found.collect()} >= {(1, 2, "high")}
-    assert [(r.members, r.domains) for r in U.verified_clusters(found, facts, 2).collect()] == [(3, 3)] or U.verified_clusters(found, facts, 2).count() == 1
+    assert {(r.l_id, r.r_id, r.tier) for r in found.collect()} == {(1, 2, "high"), (2, 3, "high")}
+    assert [(r.members, r.domains) for r in U.verified_clusters(found, facts, 2).collect()] == [(3, 3)]
+
+
+def test_near_matches_as_all_pairs(spark):
+    """Every pair of names, with typos, other predicates and no common word, by the definition of similarity."""
+    r = random.Random(4)
+    names = ["botafogo", "bota fogo sa", "santos", "sant0s", "abcabcabc", "axbxcxaxb", "copa do brasil", "copa brasil 1", "a b c", "a b d", "x", "xy", "vasco gama", "gama vasco", "flamengo", "framengo", ""]
+    names += ["".join(r.choices("abcd ", k=r.randrange(3, 14))) for _ in range(25)]
+    rows = [(i, r.choice(names), r.choice("PQ"), r.choice(names), [r.choice("uvw")]) for i in range(150)]
+    facts = spark.createDataFrame(rows, "id int, subject string, predicate string, object string, domains array<string>")
+
+    def norm(x):
+        return " ".join(w for w in x.split() if w not in S.STOPWORDS)
+
+    def sim(a, b):
+        if not a or not b:
+            return 0.0
+        x, y = set(a.split()), set(b.split())
+        return 1.0 if a == b else round(max(len(x & y) / len(x | y), SequenceMatcher(None, a, b).ratio()), 4)
+
+    want = set()
+    for a, b in combinations(rows, 2):
+        s, o = (min(p, q) + "|" + max(p, q) for p, q in ((norm(a[1]), norm(b[1])), (norm(a[3]), norm(b[3]))))
+        equal = any(x.split("|")[0] == x.split("|")[1] != "" for x in (s, o))
+        s, o = sim(*s.split("|")), sim(*o.split("|"))
+        if (s >= 0.6 and o >= 0.6) or equal:
+            want.add((a[0], b[0], s if s >= 0.6 else 0.0, o if o >= 0.6 else 0.0))
+    got = U.pairs(facts).collect()
+    assert {(x.l_id, x.r_id, x.subject_sim, x.object_sim) for x in got} == want and len(got) == len(want)
+    tiers = {(x.tier, x.variant) for x in U.link_candidates(U.scored(U.pairs(facts))).collect()}
+    assert ("low", "predicate_variant") in tiers and ("medium", "predicate_variant") in tiers and any(t == "high" for t, _ in tiers)
+    assert ("medium", "predicate_variant") in {(x.tier, x.variant) for x in U.near_matches(U.scored(U.pairs(facts))).collect()}
 
 
 def test_consolidation_is_idempotent_unless_additive(spark):
