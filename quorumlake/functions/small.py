@@ -1,7 +1,9 @@
-"""Broadcasts of checked size."""
+"""Broadcasts of checked size, and the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,3 +13,16 @@ def checked_broadcast(df: DataFrame, rows: int = 10_000) -> DataFrame:
     if df.limit(rows + 1).count() > rows:
         raise ValueError(f"more than {rows} rows: too many to compare each text with")
     return F.broadcast(df)
+
+
+def checkpoints(spark) -> str:
+    """The shared folder of spark.checkpoint.dir, which is set up for checkpoints. Only on one machine (tests) is a folder made where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quorumlake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")

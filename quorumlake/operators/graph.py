@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.small import checked_broadcast
+from ..functions.small import checked_broadcast, checkpoints
 
 QUORUM = 3
 
@@ -168,11 +168,7 @@ def paths(edges: DataFrame, seed: str, top: int | None = None) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected edges (a, b): the least node reachable. Minimum labels with pointer jumping, lineage cut by checkpoint."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlake-"))
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")).checkpoint()
     while True:

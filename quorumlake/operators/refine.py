@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..functions.small import checked_broadcast
 
 MAX_TOKENS, MAX_CHARS = 8, 60
 
@@ -288,5 +289,16 @@ def contains_fact(c: Column, fact: Column) -> Column:
     return (F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.contains(F.lower(c), w))) * 2 >= F.size(words))
 
 
+def containing(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(doc_id, item_id): contains_fact of every text and every fact (item_id, text), of which there are few: all their words are looked up once a text."""
+    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) >= 4)
+    rows = checked_broadcast(facts.select("item_id", words.alias("words")).filter("size(words) > 0"))
+    told = rows.agg(F.collect_list(F.struct("item_id", "words")).alias("facts"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"))
+    found = docs.select("doc_id", F.lower("text").alias("low")).crossJoin(F.broadcast(told))  # one row of bounded size
+    found = found.withColumn("hit", F.filter("vocabulary", lambda w: F.contains(F.col("low"), w)))
+    fits = F.filter("facts", lambda f: 2 * F.size(F.filter(f["words"], lambda w: F.array_contains(F.col("hit"), w))) >= F.size(f["words"]))
+    return found.select("doc_id", F.explode(F.transform(fits, lambda f: f["item_id"])).alias("item_id"))
+
+
 def date_like(c: Column) -> Column:
     return F.trim(F.lower(c)).rlike(r"^([0-9]{4}|[0-9]{1,2}[/-][0-9]{1,2}([/-][0-9]{2,4})?|([0-9]{1,2} (de )?)?(janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december)( (de )?[0-9]{4})?)$")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.small import checkpoints
+
 
 def inject(agents: DataFrame, injections: DataFrame) -> DataFrame:
     """agents (name, stance, influence) with the stances of known names set, between 0 and 1."""
@@ -18,11 +20,7 @@ def run(agents: DataFrame, edges: DataFrame, rounds: int = 12, alpha: float = 0.
     Each round an agent moves by alpha to the mean, weighed by influence, of its neighbours (edges: name, neighbour, both ways) that
     are within the threshold, or of all if none is. Agents without neighbours stay. Rounds are checkpointed, as lineage grows.
     """
-    spark = agents.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlake-"))
+    checkpoints(agents.sparkSession)
     now = agents.select("name", "stance", "influence").checkpoint()
     history = [now.select(F.lit(0).alias("round"), "name", "stance")]
     for i in range(1, max(0, min(rounds, 50)) + 1):

@@ -40,61 +40,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, block: int = 64) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k nearest by cosine, ties to the smaller id: exact, a stated query set against all rows.
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k nearest by cosine, ties to the smaller id: exact, a stated query set against all rows, in blocks.
 
-    queries: query_id, q (array), a few thousand at most: they are collected in blocks and sent to the tasks; corpus: vec_id, v. Each
-    task keeps the k best of its own rows, so a k-th of rows per task and query is all that is shuffled.
+    queries: query_id, q (array); corpus: vec_id, v. Both are dealt into blocks of about `block` rows, each block of queries meets each of rows
+    in a task of its own, and that gives the k best: nothing is collected, and what is shuffled again is k rows a query and block.
     """
-    rows = queries.select("query_id", "q").limit(4097).collect()
-    if len(rows) > 4096:
-        raise ValueError("more than 4096 queries: use an index")
-    ids = np.array([r.query_id for r in rows])
-    q = np.array([r.q for r in rows], float)
-
-    def run(parts):
-        best: dict[int, list[tuple[float, int]]] = {}
-        for pdf in parts:
-            x = np.array(pdf.v.tolist(), float)
-            n = np.linalg.norm(x, axis=1)
-            for i in range(0, len(ids), block):
-                qq = q[i : i + block]
-                s = qq @ x.T / np.maximum(np.linalg.norm(qq, axis=1)[:, None] * n, 1e-300)
-                for j, row in enumerate(s):
-                    at = np.lexsort((pdf.vec_id, -row))[:k]
-                    best[i + j] = sorted([*best.get(i + j, []), *((-row[a], int(pdf.vec_id.iloc[a])) for a in at)])[:k]
-        for i, found in best.items():
-            yield pd.DataFrame({"query_id": ids[i], "vec_id": [v for _, v in found], "score": [-s for s, _ in found]})
-
-    schema = "query_id bigint, vec_id bigint, score double"
-    if not len(ids):
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    found = corpus.select("vec_id", "v").mapInPandas(run, schema)
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / block).cast("int")).alias("n")
+    here, there = queries.agg(parts), corpus.agg(parts)
+    own = here.select(F.col("n").alias("n_q")).crossJoin(there.select(F.col("n").alias("n_v")))  # one row
+
+    def dealt(rows: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+        rows = rows.crossJoin(F.broadcast(own)).withColumn(f"in_{mine}", F.pmod(F.xxhash64(key), F.col(mine)))
+        return rows.withColumn(f"in_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other).cast("bigint") - 1))).drop("n_q", "n_v")
+
+    def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": []}
+        if len(asks) and len(rows):
+            q, x = np.array(asks.q.tolist(), float), np.array(rows.v.tolist(), float)
+            s = q @ x.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1), 1e-300)
+            ids = rows.vec_id.to_numpy()
+            for i, qid in enumerate(asks.query_id):
+                at = np.lexsort((ids, -s[i]))[:k]
+                out["query_id"] += [qid] * len(at)
+                out["vec_id"] += ids[at].tolist()
+                out["score"] += s[i][at].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    key = ["in_n_q", "in_n_v"]
+    left = dealt(queries.select("query_id", "q"), "query_id", "n_q", "n_v").groupBy(*key)
+    found = left.cogroup(dealt(corpus.select("vec_id", "v"), "vec_id", "n_v", "n_q").groupBy(*key)).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def resolve_entities(names: DataFrame, threshold: float = 0.8, most: int = 5_000) -> DataFrame:
-    """names (block, seq, name, v) with `leader`: in order of seq, the nearest earlier leader of the block within the threshold, else itself.
+def resolve_entities(names: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """names (block, seq, name, v) with `leader`: in order of first appearance, the nearest earlier leader of the block within the threshold, else itself.
 
-    The order matters, so a block is one sequential task; blocks (such as the first letters) keep them small. Beyond `most` leaders a
-    name stays its own.
+    The order matters, so the distinct names of a block are gone through in one task; each name has the leader of its first
+    appearance, and rows, however many, are joined to that. Blocks (such as the first letters) keep them small.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
+        pdf = pdf.sort_values("first", kind="stable")
         x = np.array(pdf.v.tolist(), float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        leaders: list[int] = []
-        out = []
+        lead, leaders, out = np.zeros_like(x), [], []
         for i in range(len(x)):
-            s = x[leaders] @ x[i] if leaders else np.zeros(0)
+            s = lead[: len(leaders)] @ x[i]
             if len(s) and s.max() >= threshold:
                 out.append(leaders[int(s.argmax())])
             else:
                 out.append(i)
-                if len(leaders) < most:
-                    leaders.append(i)
-        return pdf[["block", "seq", "name"]].assign(leader=pdf.name.to_numpy()[out])
+                lead[len(leaders)] = x[i]
+                leaders.append(i)
+        return pdf[["block", "name"]].assign(leader=pdf.name.to_numpy()[out])
 
-    return names.groupBy("block").applyInPandas(run, "block string, seq bigint, name string, leader string")
+    distinct = names.groupBy("block", "name").agg(F.min("seq").alias("first"), F.min_by("v", "seq").alias("v"))
+    led = distinct.groupBy("block").applyInPandas(run, "block string, name string, leader string")
+    return names.select("block", "seq", "name").join(led, ["block", "name"]).select("block", "seq", "name", "leader")

@@ -119,7 +119,7 @@ def _(t):
     d, e = t("documents"), t("embeddings")
     q = e.filter("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     near = V.top_k(q, e.select("vec_id", F.col("embedding").alias("v"))).join(d, F.col("vec_id") == F.col("doc_id")).select("text")
-    edges = G.relations(occ).select(F.monotonically_increasing_id().alias("id"), "subject", "predicate", "object")
+    edges = G.relations(occ).select(F.xxhash64("subject", "predicate", "object").alias("id"), "subject", "predicate", "object")
     return R.hybrid_context(facts, near, G.paths(edges, "Brand#7", 5))
 
 
@@ -229,9 +229,9 @@ def _(t):
     return IO.worker_log(t("events").select(F.col("event_id").alias("pos"), line.alias("value")))
 
 
-@query("s05_transcripts", "WITH l AS (SELECT conv_id AS file, turn AS pos, role AS x FROM conversations WHERE turn < 6) SELECT file, string_agg(x, ' ' ORDER BY pos) AS text FROM (SELECT *, lag(x) OVER (PARTITION BY file ORDER BY pos) AS b FROM l) WHERE b IS NULL OR b <> x GROUP BY 1")
+@query("s05_transcripts", "WITH l AS (SELECT conv_id AS file, turn AS pos, role AS x FROM conversations) SELECT file, string_agg(x, ' ' ORDER BY pos) AS text FROM (SELECT *, lag(x) OVER (PARTITION BY file ORDER BY pos) AS b FROM l) WHERE b IS NULL OR b <> x GROUP BY 1")
 def _(t):
-    c = t("conversations").filter("turn < 6")
+    c = t("conversations")
     lines = c.select(F.col("conv_id").alias("file"), F.explode(F.array(F.struct((F.col("turn") * 3).alias("pos"), F.col("turn").cast("string").alias("value")), F.struct((F.col("turn") * 3 + 1).alias("pos"), F.lit("00:01.000 --> 00:02.000").alias("value")), F.struct((F.col("turn") * 3 + 2).alias("pos"), F.concat(F.lit("<c>"), "role", F.lit("</c>")).alias("value")))).alias("x"))
     return IO.transcript(lines.select("file", "x.pos", "x.value"))
 

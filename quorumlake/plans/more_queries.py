@@ -42,9 +42,9 @@ def _(t):
     return n.withColumn("eligible", (F.col("domains") >= 24) & (F.col("urls") >= 2))
 
 
-@query("a30_three_source_agreement", "WITH p AS (SELECT user_id % 60 AS k, max(CASE event_type WHEN 'click' THEN event_id % 3 END) AS a, max(CASE event_type WHEN 'view' THEN event_id % 3 END) AS b, max(CASE event_type WHEN 'purchase' THEN event_id % 3 END) AS c FROM events WHERE value < 3 GROUP BY 1) SELECT k, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'missing' WHEN a = b AND b = c THEN 'full' WHEN a = b OR b = c OR a = c THEN 'partial' ELSE 'none' END AS agreement FROM p")
+@query("a30_three_source_agreement", "WITH p AS (SELECT user_id % 60 AS k, max(CASE event_type WHEN 'click' THEN event_id % 3 END) AS a, max(CASE event_type WHEN 'view' THEN event_id % 3 END) AS b, max(CASE event_type WHEN 'purchase' THEN event_id % 3 END) AS c FROM events GROUP BY 1) SELECT k, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'missing' WHEN a = b AND b = c THEN 'full' WHEN a = b OR b = c OR a = c THEN 'partial' ELSE 'none' END AS agreement FROM p")
 def _(t):
-    rows = t("events").filter("value < 3").select((F.col("user_id") % 60).alias("k"), "event_type", (F.col("event_id") % 3).alias("v"))
+    rows = t("events").select((F.col("user_id") % 60).alias("k"), "event_type", (F.col("event_id") % 3).alias("v"))
     p = rows.groupBy("k").pivot("event_type", ["click", "view", "purchase"]).agg(F.max("v"))
     a, b, c = F.col("click"), F.col("view"), F.col("purchase")
     kind = F.when(a.isNull() | b.isNull() | c.isNull(), "missing").when((a == b) & (b == c), "full").when((a == b) | (b == c) | (a == c), "partial").otherwise("none")
@@ -73,10 +73,9 @@ def _(t):
     return t("orders").select(F.explode_outer(d).alias("domain")).groupBy(F.coalesce("domain", F.lit("<unknown>")).alias("domain")).agg(F.count("*").alias("facts"))
 
 
-@query("a44_language_sides", "WITH g AS (SELECT source, bool_or(lang = 'en' AND doc_id % 9 = 0) AS a, bool_or(lang = 'fr' AND doc_id % 9 = 0) AS b FROM documents GROUP BY 1) SELECT source, CASE WHEN a AND b THEN 'both' WHEN a THEN 'en_only' WHEN b THEN 'fr_only' ELSE 'none' END AS side FROM g")
+@query("a44_language_sides", "WITH g AS (SELECT source, bool_or(lang = 'en') AS a, bool_or(lang = 'fr') AS b FROM documents GROUP BY 1) SELECT source, CASE WHEN a AND b THEN 'both' WHEN a THEN 'en_only' WHEN b THEN 'fr_only' ELSE 'none' END AS side FROM g")
 def _(t):
-    some = F.col("doc_id") % 9 == 0
-    g = t("documents").groupBy("source").agg(F.bool_or((F.col("lang") == "en") & some).alias("a"), F.bool_or((F.col("lang") == "fr") & some).alias("b"))
+    g = t("documents").groupBy("source").agg(F.bool_or(F.col("lang") == "en").alias("a"), F.bool_or(F.col("lang") == "fr").alias("b"))
     return g.select("source", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "en_only").when(F.col("b"), "fr_only").otherwise("none").alias("side"))
 
 
@@ -86,9 +85,9 @@ def _(t):
     return rows.withColumn("gap", F.col("with_url") - F.col("without_url")).withColumn("go", (F.col("gap") > 0) & (F.col("without_url") > 10))
 
 
-@query("a49_key_parity", "WITH m AS (SELECT user_id % 80 AS k, bool_or(event_type = 'click') AS a, bool_or(event_type = 'view') AS b, bool_or(event_type = 'purchase') AS c FROM events WHERE value < 5 GROUP BY 1) SELECT k, CASE a::INT + b::INT + c::INT WHEN 3 THEN 'full' WHEN 0 THEN 'none' ELSE 'partial' END AS parity, array_to_string(list_filter([CASE WHEN NOT a THEN 'missing_a' END, CASE WHEN NOT b THEN 'missing_b' END, CASE WHEN NOT c THEN 'missing_c' END], lambda x: x IS NOT NULL), ',') AS causes FROM m")
+@query("a49_key_parity", "WITH m AS (SELECT user_id % 80 AS k, bool_or(event_type = 'click') AS a, bool_or(event_type = 'view') AS b, bool_or(event_type = 'purchase') AS c FROM events GROUP BY 1) SELECT k, CASE a::INT + b::INT + c::INT WHEN 3 THEN 'full' WHEN 0 THEN 'none' ELSE 'partial' END AS parity, array_to_string(list_filter([CASE WHEN NOT a THEN 'missing_a' END, CASE WHEN NOT b THEN 'missing_b' END, CASE WHEN NOT c THEN 'missing_c' END], lambda x: x IS NOT NULL), ',') AS causes FROM m")
 def _(t):
-    m = t("events").filter("value < 5").groupBy((F.col("user_id") % 80).alias("k")).agg(*[F.bool_or(F.col("event_type") == e).alias(n) for n, e in (("a", "click"), ("b", "view"), ("c", "purchase"))])
+    m = t("events").groupBy((F.col("user_id") % 80).alias("k")).agg(*[F.bool_or(F.col("event_type") == e).alias(n) for n, e in (("a", "click"), ("b", "view"), ("c", "purchase"))])
     n = sum((F.col(c).cast("int") for c in "abc"), F.lit(0))
     causes = F.array_compact(F.array(*[F.when(~F.col(c), f"missing_{c}") for c in "abc"]))
     return m.select("k", F.when(n == 3, "full").when(n == 0, "none").otherwise("partial").alias("parity"), F.array_join(causes, ",").alias("causes"))
@@ -146,12 +145,13 @@ def _(t):
     return rows.select("user_id", F.coalesce("a", "b", "c").alias("n"), F.when(F.col("a").isNotNull(), "a").when(F.col("b").isNotNull(), "b").otherwise("c").alias("origin"))
 
 
-@query("j09_equal_predicate_token_overlap", "WITH a AS (SELECT p_partkey AS a, p_type AS p, string_split(p_name, ' ') AS w FROM part WHERE p_partkey % 20 = 0), b AS (SELECT p_partkey AS b, p_type AS p, string_split(p_name, ' ') AS w FROM part WHERE p_partkey % 20 = 1) SELECT a, b FROM a JOIN b USING (p) WHERE list_has_any(a.w, b.w)")
+@query("j09_equal_predicate_token_overlap", "WITH n AS (SELECT p_type AS p, p_name AS name, min(p_partkey) AS k, string_split(p_name, ' ') AS w FROM part GROUP BY ALL) SELECT a.p AS kind, a.k AS a, b.k AS b FROM n a JOIN n b USING (p) WHERE a.name < b.name AND list_has_any(a.w, b.w)")
 def _(t):
-    p = t("part").withColumn("w", F.split("p_name", " "))
-    a = p.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), F.col("p_type").alias("p"), F.explode("w").alias("w"))
-    b = p.filter("p_partkey % 20 = 1").select(F.col("p_partkey").alias("b"), F.col("p_type").alias("p"), F.explode("w").alias("w"))
-    return a.join(b, ["p", "w"]).select("a", "b").distinct()
+    """Names of one type that share a word; equal names are one, by their first part."""
+    n = t("part").groupBy(F.col("p_type").alias("kind"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
+    w = n.select("kind", "name", "k", F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
+    a, b = w.select("kind", "w", F.col("name").alias("x"), F.col("k").alias("a")), w.select("kind", "w", F.col("name").alias("y"), F.col("k").alias("b"))
+    return a.join(b, ["kind", "w"]).filter("x < y").select("kind", "a", "b").distinct()
 
 
 @query("t08_most_common", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
@@ -159,11 +159,15 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@query("u03_domain_sets", OCC + ", s AS (SELECT object, list_sort(list(DISTINCT domain)) AS d FROM occ WHERE confidence < 0.9005 GROUP BY 1) SELECT a.object AS a, b.object AS b, a.d = b.d AS equal, len(list_intersect(a.d, b.d))::INT AS shared FROM s a JOIN s b ON a.object < b.object")
+@query("u03_domain_sets", OCC + ", s AS (SELECT object, list_sort(list(DISTINCT domain)) AS d FROM occ GROUP BY 1) SELECT a.object AS a, b.object AS b, a.d = b.d AS equal, len(list_intersect(a.d, b.d))::BIGINT AS shared FROM s a JOIN s b ON a.object < b.object AND len(list_intersect(a.d, b.d)) > 0")
 def _(t):
-    s = occurrences(t).filter("confidence < 0.9005").groupBy("object").agg(F.array_sort(F.collect_set("domain")).alias("d"))
-    a, b = s.select(F.col("object").alias("a"), F.col("d").alias("x")), s.select(F.col("object").alias("b"), F.col("d").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("x") == F.col("y")).alias("equal"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    """Objects that share domains, joined on these; two sets are equal if both have no more than they share."""
+    rows = occurrences(t).select("object", "domain").distinct()
+    n = rows.groupBy("object").agg(F.count("*").alias("n"))
+    rows = rows.join(n, "object")
+    a, b = rows.select("domain", F.col("object").alias("a"), F.col("n").alias("n_a")), rows.select("domain", F.col("object").alias("b"), F.col("n").alias("n_b"))
+    both = a.join(b, "domain").filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    return both.select("a", "b", ((F.col("n_a") == F.col("shared")) & (F.col("n_b") == F.col("shared"))).alias("equal"), "shared")
 
 
 @query("w15_stable_distinct", "SELECT user_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS kinds FROM (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events GROUP BY 1)")

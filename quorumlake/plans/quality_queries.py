@@ -107,7 +107,7 @@ def _(t):
     return rows.groupBy(F.coalesce(R.sentence_reason(F.col("x")), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_RAW = ("usa", "UTILIZA", "é", "2020", "século XX", "http://x.org", "poder", "Passou", "of", "years", "learn", "zzz", "", "venceu", "won", "fica em", "publicaram", "a=b")
+_RAW = ("usa", "UTILIZA", "é", "2020", "século XX", "http://x.org", "poder", "Passou", "of", "years", "learn", "zzz", "", "venceu", "won", "fica em", "publicou", "a=b")
 _WHY = ("ok", "ok", "ok", "numeric_predicate", "numeric_predicate", "url_or_code_predicate", "modal_predicate", "ambiguous_predicate", "stopword_predicate", "nonverbal_predicate", "unmapped_predicate", "invalid_predicate", "invalid_predicate", "ok", "ok", "ok", "ok", "url_or_code_predicate")
 _MAPPED = ("UTILIZA", "UTILIZA", "SER", None, None, None, None, None, None, None, None, None, None, "VENCEU", "VENCEU", "LOCALIZADO_EM", "PRODUZ", None)
 _VALUES = ", ".join(f"({i}, '{r}', '{w}', {f'{chr(39)}{m}{chr(39)}' if m else 'NULL'})" for i, (r, w, m) in enumerate(zip(_RAW, _WHY, _MAPPED, strict=True)))
@@ -173,10 +173,9 @@ def _(t):
     return t("documents").select("doc_id", F.round(R.sensationalism(text), 6).cast("double").alias("score"))
 
 
-@query("f17_contains_fact")
+@query("f17_contains_fact", "WITH b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\\W+'), lambda x: length(x) >= 4) AS w FROM benchmark) SELECT doc_id, item_id FROM (SELECT doc_id, lower(text) AS low FROM documents) d JOIN b ON len(w) > 0 AND 2 * len(list_filter(w, lambda x: contains(low, x))) >= len(w)")
 def _(t):
-    b = t("benchmark").filter("item_id = 3").select(F.col("text").alias("fact"))
-    return t("documents").join(F.broadcast(b)).select("doc_id", R.contains_fact(F.col("text"), F.col("fact")).alias("found"))
+    return R.containing(t("documents"), t("benchmark"))
 
 
 @query("f18_interceptor", "SELECT page_id, strlen(html) <= 4000 AS small FROM pages")
@@ -265,12 +264,12 @@ def _(t):
     return U.productivity(t("pages").select("url", T.strip_html(F.col("html")).alias("text")))
 
 
-@query("a31_parity", """WITH r AS (SELECT user_id % 50 AS target, CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END AS side, json_extract_string(props, '$.k') AS key FROM events WHERE value < 20),
+@query("a31_parity", """WITH r AS (SELECT user_id % 50 AS target, CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END AS side, json_extract_string(props, '$.k') AS key FROM events),
 g AS (SELECT target, list(DISTINCT key) FILTER (side = 'a') AS a, list(DISTINCT key) FILTER (side = 'b') AS b FROM r GROUP BY 1), s AS (SELECT target, coalesce(len(a), 0) AS na, coalesce(len(b), 0) AS nb, len(list_intersect(coalesce(a, []), coalesce(b, []))) AS n FROM g)
 SELECT target, na::INT AS a_keys, nb::INT AS b_keys, n::INT AS shared, CASE WHEN na = 0 AND nb = 0 THEN 'nothing_extracted' WHEN (na = 0) <> (nb = 0) THEN 'one_side_empty' WHEN n = 0 THEN 'no_overlap' WHEN na > n OR nb > n THEN 'partial_overlap' ELSE 'parity' END AS cause FROM s""")
 def _(t):
     side = F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b")
-    return U.parity(t("events").filter("value < 20").select((F.col("user_id") % 50).alias("target"), side.alias("side"), F.get_json_object("props", "$.k").alias("key")))
+    return U.parity(t("events").select((F.col("user_id") % 50).alias("target"), side.alias("side"), F.get_json_object("props", "$.k").alias("key")))
 
 
 @query("a32_forensics", "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'fetch_failed' WHEN n_chars = 0 THEN 'empty_page' WHEN doc_id % 5 = 0 THEN 'no_sentences' WHEN doc_id % 4 = 0 THEN 'no_triples' WHEN doc_id % 3 = 0 THEN 'all_rejected' WHEN doc_id % 2 = 0 THEN 'not_persisted' ELSE 'ok' END AS stage FROM documents")
