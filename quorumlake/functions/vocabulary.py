@@ -74,3 +74,13 @@ def predicate_forms(path: str | None = None) -> dict[str, str]:
     """Folded form -> controlled predicate, from the lines `form,PREDICATE` of a file (without one: FORMS)."""
     with open(path or FORMS, encoding="utf-8") as f:
         return {row[0]: row[1] for row in csv.reader(f) if row and not row[0].startswith("#")}
+TERM_NOISE = ("portal", "categoria", "wikipédia", "wikipedia", "editar", "código", "ver também", "commons", "wikcionário", "wikidata", "ficheiro")
+TERM_PRONOUNS = _words("que isso isto aquilo ele ela eles elas seu sua seus suas este esta estes estas esse essa esses essas lhe lhes me te nos vos o a os as algo tudo nada")
+TRAILING = _words("que em de da do das dos a o as os e ao aos com para por no na nos nas se como mais")
+DETERMINERS = _words("o a os as um uma uns umas the an this that these those")
+GENERIC_NOUNS = _words(
+    "club clubs team teams side squad player players footballer striker goalkeeper defender midfielder coach manager crowd fans fan city country state region "
+    "father son daughter mother brother year years season game match title "
+    "clube clubes time times equipe elenco jogador jogadores futebolista goleiro zagueiro tecnico torcida cidade pais estado regiao pai filho filha mae irmao ano anos temporada jogo jogos partida partidas titulo titulos"
+)
+TABLE_ONLY, NARRATIVE_AND_TABLE = ("rsssf.org",), ("pt.wikipedia.org", "en.wikipedia.org")

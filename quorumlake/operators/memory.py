@@ -120,3 +120,40 @@ def history(turns: DataFrame, last: int = 12, session: str = "conv_id", order: s
 def sessions(turns: DataFrame, most: int = 200, session: str = "conv_id", order: str = "turn") -> DataFrame:
     """The sessions used last: the others are evicted."""
     return turns.groupBy(session).agg(F.max(order).alias("last"), F.count("*").alias("messages")).orderBy(F.desc("last"), session).limit(most)
+
+
+def last_lines(log: DataFrame, most: int = 5_000, by: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+    """What pruning a log leaves: its last lines, a distributed top-k."""
+    return log.orderBy(*[F.desc(c) for c in by]).limit(most)
+
+
+def delete_one(facts: DataFrame, key: str) -> DataFrame:
+    """facts without the one of a key; an error unless there is exactly one, so that no delete reaches further than meant."""
+    n = facts.filter(F.col("fact_key") == key).limit(2).count()
+    if n != 1:
+        raise ValueError(f"{'no' if not n else 'more than one'} fact has the key {key!r}")
+    return facts.filter(~F.col("fact_key").eqNullSafe(key))
+
+
+def delete_scope(facts: DataFrame, scope: DataFrame) -> DataFrame:
+    """facts whose key isn't in the scope (fact_key): an anti join, so a rewrite of what stays."""
+    return facts.join(scope.select("fact_key").distinct(), "fact_key", "left_anti")
+
+
+def kept_keys(hits: DataFrame, now: Column, seconds: int, most: int) -> DataFrame:
+    """(key, last): the keys that a bounded limiter still holds: those hit within the window, of these the `most` hit last (ties: by key)."""
+    last = hits.groupBy("key").agg(F.max("ts").alias("last")).filter(F.col("last") > now - F.make_dt_interval(secs=F.lit(float(seconds))))
+    return last.orderBy(F.desc("last"), "key").limit(most)
+
+
+#: Hits a window of 60 seconds allows, by kind of request.
+LIMITS = {"chat": 5, "extract_anonymous": 10, "extract": 120, "ingest": 120}
+
+
+def rate_limits(hits: DataFrame, limits: dict[str, int] | None = None, seconds: int = 60) -> DataFrame:
+    """(kind, hits, denied): hits (key, ts) under each limit; windows are counted once for all limits."""
+    limits = limits or LIMITS
+    counted = rate_limit(hits, 1, seconds).select("attempts")
+    per = [F.count_if(F.col("attempts") > n).alias(k) for k, n in limits.items()]
+    row = counted.agg(F.count("*").alias("hits"), *per)
+    return row.select("hits", F.explode(F.create_map(*[x for k in limits for x in (F.lit(k), F.col(k))])).alias("kind", "denied"))
