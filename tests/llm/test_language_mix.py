@@ -1,5 +1,9 @@
 import random
 import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
 
 from quorumlake.llm import language_mix as lm
 
@@ -59,3 +63,30 @@ def test_filter_keeps_columns_and_empty_tables(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {1001, 1002, 1003}
     assert lm.predict(docs.limit(0)).count() == 0
     assert lm.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_mixture_and_set_as_brute_force():
+    """Proportions against plain expectation-maximisation run to its end, and the set against all sets of languages by penalised likelihood."""
+    r = np.random.default_rng(3)
+    p = r.dirichlet(np.full(60, 0.3), 4)
+    for true in ([1.0, 0, 0, 0], [0.6, 0.4, 0, 0], [0, 0.5, 0.2, 0.3], [0, 0, 0, 1.0]):
+        n = r.multinomial(3000, np.array(true) @ p).astype(float)
+        at = n > 0
+
+        def fitted(some, n=n[at], q=p[:, at]):
+            share = np.full(len(some), 1 / len(some))
+            for _ in range(3000):
+                share = share * (q[some] @ (n / (share @ q[some]))) / n.sum()
+            return share, float(n @ np.log(share @ q[some]))
+
+        share, like = lm._mixture(p[:, at], n[at], 3000)
+        want, best = fitted(list(range(4)))
+        assert np.abs(share - want).max() < 0.02 and abs(like - best) < 1.0
+        sets = [list(c) for k in range(1, 5) for c in combinations(range(4), k)]
+        chosen = max(sets, key=lambda c, n=n: fitted(c)[1] - lm.PENALTY * np.log(n.sum() + 1) * (len(c) - 1))
+        assert chosen == [i for i, x in enumerate(true) if x]
+        model = lm.Model(list("abcd"), np.pad(p, ((0, 0), (0, lm.VALUES - 60)), constant_values=1e-12))
+        counts = np.pad(n.astype(np.int64), (0, lm.VALUES - 60))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm, "trigrams", lambda text, counts=counts: counts)
+            assert sorted(lang for lang, _ in lm.infer(model, "x")) == sorted("abcd"[i] for i in chosen)
