@@ -37,6 +37,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio_from(least: float):
+    """sequence_ratio where it may be `least` or more, else 0: lengths and characters in common bound it from above at little cost."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = SequenceMatcher(None, x, y)
+            low = least - 1e-4
+            out.append(m.ratio() if m.real_quick_ratio() >= low and m.quick_ratio() >= low else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Of normed texts: 1 if equal, 0 if one is empty, else the larger of Jaccard and sequence ratio, to 4 digits."""
     value = F.round(F.greatest(jaccard(tokens(a), tokens(b)), sequence_ratio(a, b)), 4)

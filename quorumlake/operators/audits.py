@@ -18,7 +18,7 @@ def similar_pairs(names: DataFrame, least: float = MEDIUM) -> DataFrame:
     None is lost: names alike by their words share a word. Of names alike by their sequence of characters, of L characters together, at least
     0.3 L match in order and at most 0.4 L don't, so where L is over 10 some two neighbouring matches have at most one
     unmatched character between them on one side: two characters at distance 1 or 2 in both. Of shorter ones, one name has
-    at most 5 characters and shares one with the other. Names are joined on these keys; lengths and letters in common bound the rest.
+    at most 5 characters and shares one with the other. Names are joined on these keys; lengths and characters in common bound the rest.
     """
     names = names.select("name").filter("name <> ''").distinct()
     keyed = names.select("name", F.length("name").alias("n"))
@@ -29,17 +29,13 @@ def similar_pairs(names: DataFrame, least: float = MEDIUM) -> DataFrame:
     keyed = keyed.select("name", "n", F.explode(F.array_distinct(F.concat(words, grams, single))).alias("key"))
     left, right = keyed.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "key"), keyed.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "key")
     found = left.join(right, "key").filter("a < b").select("a", "b", "n_a", "n_b").distinct()
-    # at most so many characters match in order as both names have of each
-    letters = F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "])
-
-    def times(c: str, x):
-        return F.length(c) - F.length(F.replace(c, x, F.lit("")))
-
-    common = F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.least(times("a", x), times("b", x)))
     jaccard = F.round(S.jaccard(S.tokens(F.col("a")), S.tokens(F.col("b"))), 4)
-    found = found.withColumn("words_sim", jaccard).filter((F.col("words_sim") >= least) | (2 * common >= (least - 1e-4) * (F.col("n_a") + F.col("n_b"))))
-    found = found.withColumn("sim", F.greatest("words_sim", F.round(S.sequence_ratio(F.col("a"), F.col("b")), 4))).filter(F.col("sim") >= least).select("a", "b", "sim")
-    return found.union(found.select("b", "a", "sim"))
+    found = found.withColumn("words_sim", jaccard).filter((F.col("words_sim") >= least) | (2 * F.least("n_a", "n_b") >= (least - 1e-4) * (F.col("n_a") + F.col("n_b"))))
+    # few rows, much work in each: dealt over all cores
+    found = found.repartition(4 * names.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    found = found.withColumn("sim", F.greatest("words_sim", F.round(S.ratio_from(least)(F.col("a"), F.col("b")), 4))).filter(F.col("sim") >= least)
+    both = F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    return found.select(F.inline(both))
 
 
 def pairs(facts: DataFrame) -> DataFrame:
