@@ -29,7 +29,7 @@ FIT = 32_768
 #: Vectors of a list, about, and lists at most (centroids and their graph are sent to every worker).
 LIST, LISTS = 256, 4_096
 #: A vector stands in the lists within this ratio of the nearest distance, at most COPIES; a query reads those within READ.
-CLOSE, COPIES, READ = 1.2, 6, 1.22
+CLOSE, COPIES, READ = 1.04, 3, 1.27
 BLOCK, DEGREE, ENTRIES = 2_048, 24, 16
 #: Lists that a query reads first.
 FIRST = 8
