@@ -95,6 +95,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+_OP3_RULES = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]{32,}", 0, 32),
+    ("pem", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("url", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{8,})@", 0, 1),
+)
+#: A match starts behind the pieces of text and the matches before it.
+_OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, string_split_regex(t, '{p}') AS s FROM d" for i, (kind, p, group, least) in enumerate(_OP3_RULES))}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+f AS (SELECT doc_id, rank, kind, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS b, length(m[i]) AS n FROM e WHERE length(g[i]) >= least),
+k AS (SELECT doc_id, rank, kind, b, kind || ':' || b || ':' || (b + n) AS said FROM f)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(said, ',' ORDER BY b, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY b, rank), '') AS spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
+
+def _op10_seeds(words: str, *keep: str) -> str:
+    """SELECTs of (keep, k, p, s): what the masks 1111011, 11101011 and 110110011 read at each word p, and all windows of the lengths of short items."""
+    told = ", ".join(keep)
+    read = {7: (0, 1, 2, 3, 5, 6), 8: (0, 1, 2, 4, 6, 7), 9: (0, 1, 3, 4, 7, 8)}
+    masks = [(n, span, f"concat_ws(' ', {', '.join(f'{words}[p + {o}]' for o in at)})") for n, (span, at) in enumerate(read.items())]
+    whole = [(100 + n, n, f"array_to_string({words}[p:p + {n - 1}], ' ')") for n in range(5, 9)]
+    return " UNION ALL ".join(f"SELECT {told}, {k} AS k, unnest(range(1, len({words}) - {span - 2})) AS p, unnest(list_transform(range(1, len({words}) - {span - 2}), lambda p: {said})) AS s" + " FROM {}" for k, span, said in masks + whole)
+
+
+_OP10_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS x FROM benchmark),
+ds AS ({_op10_seeds("w", "doc_id").replace("{}", "d")}),
+bs AS ({_op10_seeds("x", "item_id", "len(x) AS n").replace("{}", "b WHERE len(x) >= 5")}),
+h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS lead FROM ds JOIN bs USING (k, s) WHERE CASE WHEN n >= 9 THEN k < 100 ELSE k = 100 + n END),
+f AS (SELECT doc_id, item_id, lead, len(x) AS n, least(len(x), 16) AS width, greatest(-lead, 0) AS skipped, x, w[greatest(lead, 0) + 1:lead + len(x)] AS facing FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+g AS (SELECT *, list_transform(range(1, len(facing) + 1), lambda j: CASE WHEN facing[j] = x[skipped + j] THEN 1 ELSE 0 END) AS eq FROM f),
+t AS (SELECT *, list_transform(range(1, greatest(len(eq) - width + 1, 1) + 1), lambda j: list_sum(eq[j:j + width - 1])) AS sums FROM g),
+r AS (SELECT *, list_max(sums) AS matched, list_position(sums, list_max(sums)) - 1 AS a FROM t),
+o AS (SELECT doc_id, item_id, matched, width, greatest(lead, 0) + a AS doc_word, skipped + a AS item_word FROM r WHERE matched >= CASE WHEN n < 9 THEN n ELSE ceil(width * 4 / 5) END)
+SELECT doc_id, item_id, matched::INT AS matched, width::INT AS compared, doc_word::INT AS doc_word, item_word::INT AS item_word
+FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_word, item_word) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL is given where it can express the query; the others are held against brute force in tests/llm."""
-    return {"op6_relative_lz_dedup": _OP6_SQL}
+    return {"op3_secret_scans": _OP3_SQL, "op6_relative_lz_dedup": _OP6_SQL, "op10_spaced_seed_decontamination": _OP10_SQL}
