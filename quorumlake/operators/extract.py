@@ -72,7 +72,7 @@ def winners(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, table, row, cells) of every table of HTML, cells as text; by the standard parser, in Arrow batches."""
+    """(id, table, row, cells, css) of every table of HTML, cells as text, css the table's classes; by the standard parser, in Arrow batches."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from html.parser import HTMLParser
@@ -80,11 +80,12 @@ def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         class Tables(HTMLParser):
             def __init__(self):
                 super().__init__()
-                self.rows, self.table, self.cells, self.cell = [], -1, None, None
+                self.rows, self.table, self.css, self.cells, self.cell = [], -1, "", None, None
 
             def handle_starttag(self, tag, attrs):
                 if tag == "table":
                     self.table += 1
+                    self.css = dict(attrs).get("class") or ""
                 elif tag == "tr":
                     self.cells = []
                 elif tag in ("td", "th") and self.cells is not None:
@@ -99,7 +100,7 @@ def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                     self.cells.append(" ".join("".join(self.cell).split()))
                     self.cell = None
                 elif tag == "tr" and self.cells is not None:
-                    self.rows.append((self.table, self.cells))
+                    self.rows.append((self.table, self.cells, self.css))
                     self.cells = None
 
         for pdf in parts:
@@ -107,11 +108,11 @@ def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             for i, html in zip(pdf["id"], pdf["html"], strict=True):
                 p = Tables()
                 p.feed(html or "")
-                out += [(i, t, n, c) for n, (t, c) in enumerate(p.rows)]
-            yield pd.DataFrame(out, columns=["id", "table", "row", "cells"])
+                out += [(i, t, n, c, css) for n, (t, c, css) in enumerate(p.rows)]
+            yield pd.DataFrame(out, columns=["id", "table", "row", "cells", "css"])
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "id bigint, table int, row int, cells array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(run, "id bigint, table int, row int, cells array<string>, css string").withColumnRenamed("id", id_col)
 
 
 def honours(rows: DataFrame, allowed: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -88,3 +88,13 @@ def write_sft(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(f"{path}/data")
     info = records.sparkSession.createDataFrame([("data", "instruction", "input", "output")], "file_name string, prompt string, query string, response string")
     info.write.mode("overwrite").json(f"{path}/dataset_info")
+
+
+def write_reports(rows: DataFrame, path: str, name: str) -> None:
+    """Each row as a JSON document, in a folder by the value of `name`; nulls are written, so every document has all keys."""
+    document = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    rows.select(F.col(name).alias("report"), document.alias("value")).write.partitionBy("report").text(path)
+
+
+def read_reports(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.text(path).select(F.from_json("value", schema).alias("j")).select("j.*")
