@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Trigrams are hashed to so many values; languages that may be learned at most: together they bound the model (67 MB of doubles) and the counts that come to the driver for it (8.4 million rows).
-VALUES, LANGUAGES = 1 << 15, 256
+from .shared import cut
+
+#: Trigrams are hashed to so many values. The model holds so many numbers at most (67 MB of doubles, as many counts come to the driver for it),
+#: enough for 256 languages; for more, neighbouring values are put together until it does, so it stays as large for any number of languages.
+VALUES, NUMBERS = 1 << 15, 1 << 23
 #: Log-likelihood that one more language must gain, times the logarithm of the number of trigrams.
 PENALTY = 4.0
 UNKNOWN = "und"
@@ -50,6 +53,7 @@ def trigrams(text: str | None) -> np.ndarray:
 class Model:
     languages: list[str]
     p: np.ndarray  # of each value in each language
+    shift: int = 0  # values are put together by leaving out so many of their last bits
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -66,14 +70,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     counts = rows.mapInArrow(run, "lang string, value int, n bigint").groupBy("lang", "value").agg(F.sum("n").alias("n"))
-    names = sorted(r.lang for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages: the model would not be small enough to send to every worker")
-    p = np.full((len(names), VALUES), 0.05)
-    if names:
-        table = counts.toArrow()
-        p[np.searchsorted(names, table.column("lang").to_pylist()), table.column("value").to_numpy()] += table.column("n").to_numpy()
-    return Model(names, (p / p.sum(axis=1, keepdims=True)).astype(np.float64))
+    counts = cut(counts)
+    languages = counts.agg(F.count_distinct("lang")).first()[0]
+    shift = min(15, max(0, int(np.ceil(np.log2(max(languages, 1) * VALUES / NUMBERS)))))
+    table = counts.groupBy("lang", F.shiftright("value", shift).alias("value")).agg(F.sum("n").alias("n")).toArrow()
+    names, row = np.unique(np.array(table.column("lang").to_pylist(), object), return_inverse=True)
+    p = np.full((len(names), VALUES >> shift), 0.05 * 2**shift)
+    p[row, table.column("value").to_numpy()] += table.column("n").to_numpy()
+    return Model(names.tolist(), p / p.sum(axis=1, keepdims=True), shift)
 
 
 def _mixture(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -92,7 +96,7 @@ def _mixture(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, flo
 
 def infer(model: Model, text: str | None) -> list[tuple[str, float]]:
     """The languages of a text with their proportions, largest first; none for a text without letters."""
-    counts = trigrams(text)
+    counts = trigrams(text).reshape(-1, 1 << model.shift).sum(axis=1)
     at = np.flatnonzero(counts)
     if not len(at) or not model.languages:
         return []

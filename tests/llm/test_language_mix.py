@@ -49,6 +49,16 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert one == two
 
 
+def test_more_languages_than_the_model_has_room_for(spark, monkeypatch):
+    rows = corpus(120)
+    monkeypatch.setattr(lm, "NUMBERS", lm.VALUES)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = lm.learn(docs)
+    assert model.shift == 2 and model.p.shape == (3, lm.VALUES // 4) and np.allclose(model.p.sum(axis=1), 1)
+    lang = {r[0]: r[2] for r in rows[:120]}
+    assert all(r.lang_pred == lang[r.doc_id] for r in lm.predict(docs).collect() if r.doc_id in lang)
+
+
 def test_chunks_change_no_counts(monkeypatch):
     text = "Éab cd, " * 300
     whole = lm.trigrams(text)
