@@ -26,10 +26,12 @@ KEYWORD_STOPWORDS = ("a", "o", "as", "os", "um", "uma", "de", "do", "da", "dos",
 
 def unaccent(c: Column) -> Column:
     """Lower case without accents, composed or decomposed; other shapes of a letter become it, and ligatures of f their letters."""
-    x = F.lower(c)
+    low = F.lower(c)
+    x = low
     for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         x = F.replace(x, F.lit(joined), F.lit(letters))
-    return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"\p{M}", "")
+    # plain ASCII needs none of it
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"\p{M}", ""))
 
 
 def fold_span(c: Column) -> Column:

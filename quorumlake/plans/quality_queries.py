@@ -97,8 +97,9 @@ _FORMS = [k for k in sorted(V.predicate_forms()) if " " not in k]
 @query("f04_sentence_scores", f"""WITH {_LINES}, s AS (SELECT {_L} AS x FROM l), v AS (SELECT x, lower(x) AS low, list_has_any(string_split(trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g')), ' '), {_list(_FORMS).replace('(', '[').replace(')', ']')}) AS p FROM s)
 SELECT CASE WHEN x = '' THEN 0.0 ELSE greatest(0, least(10, 5 + CASE WHEN p THEN 2 ELSE 0 END + CASE WHEN length(x) BETWEEN 40 AND 220 THEN 1 ELSE 0 END - CASE WHEN {_any(V.UI_MARKERS, 'low')} THEN 5 ELSE 0 END - CASE WHEN regexp_matches(low, '^({'|'.join(V.IMPERATIVES)})') OR ends_with(x, '?') THEN 3 ELSE 0 END)) / 10 END::DOUBLE AS score, count(*) AS n FROM v GROUP BY 1""")
 def _(t):
-    rows = t("documents").select(F.explode(F.split("text", "\n")).alias("x"))
-    return rows.groupBy(R.sentence_score(F.col("x")).cast("double").alias("score")).agg(F.count("*").alias("n"))
+    # each line is scored once, however often it comes
+    rows = t("documents").select(F.explode(F.split("text", "\n")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    return rows.groupBy(R.sentence_score(F.col("x")).cast("double").alias("score")).agg(F.sum("n").alias("n"))
 
 
 @query("f01_sentence_candidates")
