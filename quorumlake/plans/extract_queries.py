@@ -30,7 +30,13 @@ def _(t):
     return t("part").select("p_partkey", X.confidence(F.col("p_name"), known, F.col("p_type")).cast("double").alias("confidence"))
 
 
-@query("g03_nominal_frames")
+_SENT = "string_split_regex(trim(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g')), chr(1))"
+_COPULA = r"^(\p{Lu}[\p{L}\p{N} -]{1,40}?) (?:é|foi|is|was) (?:um|uma|o|a|an|the) ([\p{L}\p{N} -]{2,40})"
+_APPOSITION = r"^(\p{Lu}[\p{L}\p{N} -]{1,40}?), (?:um|uma|o|a|an|the) ([\p{L}\p{N} -]{2,40}),"
+
+
+@query("g03_nominal_frames", f"""WITH s AS (SELECT doc_id, unnest({_SENT}) AS s FROM documents), m AS (SELECT doc_id, s, CASE WHEN regexp_matches(s, '{_COPULA}') THEN regexp_extract(s, '{_COPULA}', ['a', 'b']) WHEN regexp_matches(s, '{_APPOSITION}') THEN regexp_extract(s, '{_APPOSITION}', ['a', 'b']) END AS m FROM s)
+SELECT doc_id, m.a AS subject, 'SER' AS predicate, trim(m.b) AS object FROM m WHERE m IS NOT NULL""")
 def _(t):
     rows = t("documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("text"))
     return X.nominal(rows)
@@ -83,7 +89,8 @@ def _(t):
     return X.located(t("part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query("g16_cooccurrences")
+@query("g16_cooccurrences", f"""WITH s AS (SELECT doc_id, unnest({_SENT}) AS s FROM documents), k AS (SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(s), 'ß', ' ')), '[^a-z0-9]+', ' ', 'g')) AS k FROM s WHERE trim(s) <> '')
+SELECT doc_id, a, b, count(*) AS sentences FROM k, (VALUES ('the'), ('que')) x(a), (VALUES ('and'), ('les')) y(b) WHERE contains(k, a) AND contains(k, b) GROUP BY 1, 2, 3""")
 def _(t):
     a = t.spark.createDataFrame([("the",), ("que",)], "name string")
     b = t.spark.createDataFrame([("and",), ("les",)], "name string")

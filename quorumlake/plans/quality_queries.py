@@ -102,7 +102,21 @@ def _(t):
     return rows.groupBy(R.sentence_score(F.col("x")).cast("double").alias("score")).agg(F.sum("n").alias("n"))
 
 
-@query("f01_sentence_candidates")
+#: Word boundaries are spelled out: those of the two engines differ at letters with accents.
+_B, _E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+_NOISE = rf"(?i)[\x{{200b}}\x{{2060}}\x{{feff}}]|{_B}image (?:source|caption){_E}|{_B}copy link{_E}|{_B}share page{_E}|^\W*[0-9]{{4}}\s*\)|^\s*(?:retrieved|archived) [0-9]|{_B}jump (?:up|to){_E}"
+_VERBAL = (
+    rf"(?i:{_B}(?:is|are|was|were|be|been|has|have|had|do|does|did|will|would|can|could|won|played|held|led|made|became|founded|called|born|uses|includes|foi|era|tem){_E})"
+    rf"|\p{{L}}{{2,}}(?i:ed|ing|ou|eu|iu|ava|aram|ando|endo|indo|ado|ido|ada|ida){_E}|{_B}(?:é|[Ss]ã[Oo]|[Ee][Ss][Tt]á){_E}"
+)
+_NAV = rf"(?i)^(?:see also|external links?|further reading|bibliography|contents|notes?|ver também|refer[êe]ncias|edit(?:ar)?$|full name|nickname|date of birth){_E}"
+_CANDIDATE = (
+    "CASE WHEN len(regexp_extract_all(x, '\\p{L}{2,}')) < 3 THEN 'too_short' WHEN regexp_matches(x, '" + _NOISE + "') THEN 'noise_marker' WHEN regexp_matches(x, '" + _VERBAL + "') THEN 'ok' WHEN regexp_matches(x, '" + _NAV + "') THEN 'noise_marker' "
+    "WHEN len(regexp_extract_all(x, '[0-9]+')) >= 2 THEN 'non_propositional_fragment' WHEN len(regexp_extract_all(x, '\\p{L}{2,}')) >= 4 AND (contains(x, ',') OR len(regexp_extract_all(x, '\\s\\p{Lu}')) >= 2) THEN 'ok' ELSE 'non_propositional_fragment' END"
+)
+
+
+@query("f01_sentence_candidates", f"SELECT {_CANDIDATE} AS reason, count(*) AS n FROM (SELECT {_FLAT.format(x='s')} AS x FROM (SELECT unnest({_SENT}) AS s FROM documents)) GROUP BY 1")
 def _(t):
     rows = t("documents").select(F.explode(T.sentences(F.col("text"))).alias("x"))
     return rows.groupBy(F.coalesce(R.sentence_reason(F.col("x")), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
@@ -260,7 +274,10 @@ def _(t):
     return U.json_lines(t("events").select(v.alias("value")))
 
 
-@query("a25_page_productivity")
+@query("a25_page_productivity", f"""WITH d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages),
+x AS (SELECT page_id, {_FLAT.format(x='s')} AS x FROM (SELECT page_id, unnest({_SENT}) AS s FROM d)), w AS (SELECT page_id, {_CANDIDATE} AS why FROM x),
+n AS (SELECT d.page_id, url, count(why)::INT AS sentences, (count(*) FILTER (why = 'ok'))::INT AS usable, (count(*) FILTER (why = 'noise_marker'))::INT AS noise FROM d LEFT JOIN w ON w.page_id = d.page_id GROUP BY 1, 2)
+SELECT url, sentences, usable, noise, CASE WHEN sentences = 0 THEN 'empty' WHEN noise * 2 > sentences THEN 'navigation_dominated' WHEN usable < 3 THEN 'thin' ELSE 'productive' END AS class FROM n""")
 def _(t):
     return U.productivity(t("pages").select("url", T.strip_html(F.col("html")).alias("text")))
 
