@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mix, licence_model, line_templates, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds
+from . import collocations, language_mix, licence_model, line_templates, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds, spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +76,18 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return spaced_seeds.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_marginal_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_gram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination, op11_marginal_collocations, op12_gram_spelling_variants)}
 
 
 _OP6_SQL = r"""
@@ -139,6 +147,24 @@ SELECT doc_id, item_id, matched::INT AS matched, width::INT AS compared, doc_wor
 FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_word, item_word) = 1"""
 
 
+_OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+s AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM s GROUP BY ALL),
+x AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE k >= 2 AND a >= 10),
+i AS (SELECT lang, unnest([array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' ')]) AS phrase, a AS longer FROM x WHERE k = 3),
+c AS (SELECT * FROM x WHERE NOT EXISTS (FROM i WHERE i.lang = x.lang AND i.phrase = x.phrase AND 100 * longer >= 50 * a)),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+q AS (SELECT u.lang, u.phrase, u.a, cut, h.a AS l, t.a AS r, ((1000000::HUGEINT * u.a * u.a) // (h.a::HUGEINT * t.a))::BIGINT AS score
+      FROM u JOIN f h ON h.lang = u.lang AND h.phrase = array_to_string(v[1:cut], ' ') JOIN f t ON t.lang = u.lang AND t.phrase = array_to_string(v[cut + 1:], ' ')),
+b AS (SELECT lang, phrase, a, l, r, score FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL is given where it can express the query; the others are held against brute force in tests/llm."""
-    return {"op3_secret_scans": _OP3_SQL, "op6_relative_lz_dedup": _OP6_SQL, "op10_spaced_seed_decontamination": _OP10_SQL}
+    return {"op3_secret_scans": _OP3_SQL, "op6_relative_lz_dedup": _OP6_SQL, "op10_spaced_seed_decontamination": _OP10_SQL, "op11_marginal_collocations": _OP11_SQL}
