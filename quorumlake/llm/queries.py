@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, language_mix, licence_model, line_templates, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds, spelling_variants
+from . import collocations, language_mix, licence_model, line_templates, mincut_html, posting_ann, rlz_dedup, secret_ledger, simhash, source_mix, spaced_seeds, spelling_variants, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +84,14 @@ def op12_gram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_pruned_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination, op11_marginal_collocations, op12_gram_spelling_variants)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_templates, op2_language_mix, op3_secret_scans, op4_mincut_html, op5_source_mix, op6_relative_lz_dedup, op7_licence_model, op8_posting_ann, op9_simhash_near_dedup, op10_spaced_seed_decontamination, op11_marginal_collocations, op12_gram_spelling_variants, op13_pruned_graph_dedup)}
 
 
 _OP6_SQL = r"""
