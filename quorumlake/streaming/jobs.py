@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import store as K
 
 
 def episode_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -48,24 +49,16 @@ def session_stream(turns: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, store: str, checkpoint: str):
-    """Facts under `store` kept up with a stream of occurrences: each micro-batch is appended once and only the facts it touches are counted anew.
+    """Facts under `store` kept up with a stream of occurrences; a micro-batch reads the buckets of its own facts alone (see store)."""
+    return K.upserts(stream, store, checkpoint, K.FACTS)
 
-    Occurrences are a table partitioned by batch, so a batch that is run again replaces itself; facts are written beside and read by `latest`.
-    """
-    from ..operators import graph as G
 
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/occurrences/batch={n}")
-        occ = spark.read.parquet(f"{store}/occurrences")
-        keys = G.with_keys(batch).select("fact_key").distinct()
-        touched = G.with_keys(occ).join(keys, "fact_key", "left_semi").drop("fact_key", "fact_hash", "batch")
-        G.facts(touched).withColumn("version", F.lit(n)).write.mode("overwrite").parquet(f"{store}/facts/batch={n}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest(spark, store: str) -> DataFrame:
+    """Facts as the last batch left them."""
+    return K.current(spark, store, K.FACTS)
 
 
-def latest(spark, store: str) -> DataFrame:
-    """Facts as the last batch that touched them left them."""
-    rows = spark.read.parquet(f"{store}/facts").drop("batch")
-    return rows.groupBy("fact_key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "fact_key"]), "version").alias("f")).select("fact_key", "f.*").drop("version")
+def late_episodes(stream: DataFrame, store: str, checkpoint: str):
+    """Episodes under `store` kept up with a stream of events that may come at any time and in any order: a late event re-opens its day, and
+    store.changes has the row that it takes back and the one that it puts in its place."""
+    return K.upserts(stream, store, checkpoint, K.EPISODES)
