@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .shared import cut
 
-#: Bytes of text cut into words at a time; windows that a task sums before it passes them on.
-TEXT, HELD = 2 << 20, 1 << 19
+#: Bytes of text cut into words at a time; windows that a task sums at once, and sums that it adds up before it passes them on.
+TEXT, HELD, PASSED = 2 << 20, 1 << 19, 1 << 21
 #: Documents of the sample, about; a prefix that makes up one in HOT of its windows (so HOT prefixes at most) is dealt over SALTS tasks.
 SAMPLE, HOT, SALTS = 2_000, 1_000, 64
 
@@ -71,11 +71,19 @@ def _summed_windows(docs: DataFrame, order: int, hot: list[str]) -> DataFrame:
 
     def run(batches):
         held: list[pa.Table] = []
-
-        def summed():
-            g = pa.concat_tables(held).combine_chunks().group_by(["prefix", "last"]).aggregate([([], "count_all")])
-            held.clear()
-            for b in g.combine_chunks().to_batches(max_chunksize=1 << 16):
+        sums: list[pa.Table] = []
+
+        def summed() -> None:
+            if held:
+                sums.append(pa.concat_tables(held).combine_chunks().group_by(["prefix", "last"]).aggregate([([], "count_all")]).rename_columns(["prefix", "last", "n"]))
+                held.clear()
+
+        def passed():
+            all_ = pa.concat_tables(sums).combine_chunks()
+            if len(sums) > 1:
+                all_ = all_.group_by(["prefix", "last"]).aggregate([("n", "sum")]).combine_chunks()
+            sums.clear()
+            for b in all_.to_batches(max_chunksize=1 << 16):
                 yield pa.RecordBatch.from_arrays([salted(b.column(0), b.column(1)), b.column(1), b.column(2)], ["prefix", "last", "n"])
 
         for b in batches:
@@ -87,10 +95,13 @@ def _summed_windows(docs: DataFrame, order: int, hot: list[str]) -> DataFrame:
                 for t in _windows(b.column("lang")[at:to], texts[at:to], order):
                     held.append(t)
                     if sum(map(len, held)) >= HELD:
-                        yield from summed()
+                        summed()
+                        if sum(map(len, sums)) >= PASSED:
+                            yield from passed()
                 at = to
-        if held:
-            yield from summed()
+        summed()
+        if sums:
+            yield from passed()
 
     return docs.mapInArrow(run, "prefix string, last string, n bigint")
 
@@ -112,8 +123,10 @@ def counts(docs: DataFrame, order: int = 3, least: int = 10, text_col: str = "te
     """(lang, words, phrase, n): frequency of each phrase of 1 to `order` words that has `least` or more, and under words 0 of all words of a language."""
     read = _read(docs, text_col, lang_col)
     # dealt by prefix once: the sums of windows and of prefixes need no other shuffle
-    windows = _summed_windows(read, order, _hot(read, order)).repartition("prefix").groupBy("prefix", "last").agg(F.sum("n").alias("n"))
-    prefixes = windows.groupBy("prefix").agg(F.sum("n").alias("n"))
+    dealt = _summed_windows(read, order, _hot(read, order)).repartition("prefix")
+    windows = dealt.groupBy("prefix", "last").agg(F.sum("n").alias("n"))
+    # counts `last` so that it isn't pruned, which would take a shuffle of its own
+    prefixes = dealt.groupBy("prefix").agg(F.sum("n").alias("n"), F.count("last").alias("full")).filter("full >= 0")
     phrase, salt, lang = (F.split("prefix", "\n", 3)[k] for k in range(3))
     told = prefixes.select(lang.alias("lang"), phrase.alias("phrase"), salt.alias("salt"), "n").withColumn("words", F.regexp_count("phrase", F.lit(" ")) + 1)
     names = [f"p{k}" for k in range(1, order - 1)]
@@ -128,9 +141,9 @@ def counts(docs: DataFrame, order: int = 3, least: int = 10, text_col: str = "te
     all_ = cut(top.unionByName(mid).unionByName(low))
     # no more than windows that are full, prefixes of full length, and languages: what is padded has sums of its own further down
     full = all_.filter(f"kind = 'window' and not endswith(phrase, ' ') or kind = 'prefix' and words = {order - 1} or kind = 'rolled' and lang is not null and (words = 0 or phrase is not null)")
-    dealt = F.col("salt") != ""
-    summed = full.filter(dealt).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return full.filter(~dealt).select("lang", "words", "phrase", "n").unionByName(summed)
+    salted = F.col("salt") != ""
+    summed = full.filter(salted).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return full.filter(~salted).select("lang", "words", "phrase", "n").unionByName(summed)
 
 
 def scored(found: DataFrame, order: int = 3, cover: int = 50) -> DataFrame:
