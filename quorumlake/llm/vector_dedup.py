@@ -22,7 +22,7 @@ from .posting_ann import _centroids, _packed, _unit, clean
 from .shared import components, cut
 
 #: Nodes that the centroids are fitted on, at most. Every row is searched.
-FIT = 32_768
+FIT = 16_384
 #: Leaders of a shard, about, and shards at most (their centroids are sent to every worker); a shard is cut into blocks of BLOCK.
 SHARD, SHARDS, BLOCK = 1_024, 4_096, 2_048
 #: Shards that a leader stands in at first.
@@ -51,11 +51,12 @@ def _fit(nodes: DataFrame, kind: str, least: float) -> np.ndarray:
     rows = nodes.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(FIT).collect()
     x = _units([r.v for r in rows], kind)
     alone = []
-    for i in range(0, len(x), 1024):
-        c = x[i : i + 1024] @ x[: i + 1024].T
+    x = x.astype(np.float32)
+    for i in range(0, len(x), 256):
+        c = x[i : i + 256] @ x[: i + 256].T
         c[np.arange(len(c))[:, None] + i <= np.arange(c.shape[1])[None, :]] = -1
         alone.append(c.max(axis=1) < least)
-    x = x[np.concatenate(alone)].astype(np.float32)
+    x = x[np.concatenate(alone)]
     return _centroids(x, int(min(max(1, n // SHARD), SHARDS, len(x))))
 
 
