@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import similarity as S
+from ..functions.small import checkpoints
 from . import graph as G
 
 HIGH, MEDIUM = 0.85, 0.60
@@ -38,41 +38,65 @@ def similar_pairs(names: DataFrame, least: float = MEDIUM) -> DataFrame:
     return found.select(F.inline(both))
 
 
-def pairs(facts: DataFrame) -> DataFrame:
-    """Pairs of facts (id, subject, predicate, object, domains), l_id < r_id, that may match in any tier, with subject_sim and object_sim.
+def groups(facts: DataFrame) -> DataFrame:
+    """(s, o, predicate, domains, n, first): facts (id, subject, predicate, object, domains) by normed names, predicate and set of domains, with their number and least id.
 
-    Those whose subjects and objects are both similar (MEDIUM or more), of one or of two predicates, and those of which one of
-    the two is equal; of the latter a similarity below MEDIUM is given as 0. Similarity is worked out between distinct names, then
-    joined back to facts.
+    Facts of one group are told apart by nothing that a match looks at, so pairs are worked out between groups.
     """
-    normed = facts.select("id", "predicate", "domains", S.norm(F.col("subject")).alias("s"), S.norm(F.col("object")).alias("o"))
-    l = normed.select(*[F.col(c).alias(f"l_{c}") for c in normed.columns])
-    r = normed.select(*[F.col(c).alias(f"r_{c}") for c in normed.columns])
-    subjects = similar_pairs(normed.select(F.col("s").alias("name")))
-    objects = similar_pairs(normed.select(F.col("o").alias("name")))
-    same_s = l.filter("l_s <> ''").join(r, F.col("l_s") == F.col("r_s")).filter("l_id < r_id").withColumn("subject_sim", F.lit(1.0))
-    near_s = l.join(subjects, F.col("l_s") == F.col("a")).join(r, F.col("b") == F.col("r_s")).filter("l_id < r_id").withColumn("subject_sim", F.col("sim")).drop("a", "b", "sim")
-    o = objects.select(F.col("a").alias("o_a"), F.col("b").alias("o_b"), F.col("sim").alias("o_sim"))
-    both = (F.col("l_o") == F.col("o_a")) & (F.col("r_o") == F.col("o_b"))
-    equal = (F.col("l_o") == F.col("r_o")) & (F.col("l_o") != "")
-    known = F.when(equal, 1.0).otherwise(F.coalesce("o_sim", F.lit(0.0)))
-    first = same_s.join(o, both, "left").withColumn("object_sim", known)
-    second = near_s.join(o, both, "left").withColumn("object_sim", known).filter("object_sim > 0")
-    # equal objects of subjects that aren't similar
-    third = l.filter("l_o <> ''").join(r, F.col("l_o") == F.col("r_o")).filter("l_id < r_id and l_s <> r_s")
-    s = subjects.select(F.col("a").alias("s_a"), F.col("b").alias("s_b"))
-    third = third.join(s, (F.col("l_s") == F.col("s_a")) & (F.col("r_s") == F.col("s_b")), "left_anti").withColumn("subject_sim", F.lit(0.0)).withColumn("object_sim", F.lit(1.0))
-    columns = [*l.columns, *r.columns, "subject_sim", "object_sim"]
-    return first.select(columns).union(second.select(columns)).union(third.select(columns))
-
-
-def scored(found: DataFrame) -> DataFrame:
-    """pairs() with the score of each: the larger of its similarities, of which one is MEDIUM or more."""
-    return found.withColumn("score", F.round(F.greatest("subject_sim", "object_sim"), 4))
+    normed = facts.select("id", "predicate", F.array_sort(F.array_distinct("domains")).alias("domains"), S.norm(F.col("subject")).alias("s"), S.norm(F.col("object")).alias("o"))
+    return normed.groupBy("s", "o", "predicate", "domains").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def name_pairs(named: DataFrame, column: str, least: float = MEDIUM) -> DataFrame:
+    """(a, b, sim, alias) of the names in a column: pairs of different ones, in both orders, that are similar or of which one abbreviates the other.
+
+    Written once: all that follows joins to it. An abbreviation shares another token with what it stands for, so aliases are met there.
+    """
+    checkpoints(named.sparkSession)
+    names = named.select(F.col(column).alias("name")).filter("name <> ''").distinct().checkpoint()
+    close = similar_pairs(names, least)
+    word = names.select("name", S.tokens(F.col("name")).alias("t"))
+    short = word.filter(F.arrays_overlap("t", F.array(*[F.lit(x) for x in S.ABBREVIATIONS])))
+    long = word.filter(F.exists(F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in S.ABBREVIATIONS.values()]), lambda ws: F.size(F.array_except(ws, F.col("t"))) == 0))
+    met = short.select(F.col("name").alias("a"), F.explode("t").alias("w")).join(long.select(F.col("name").alias("b"), F.explode("t").alias("w")), "w").filter("a <> b").select("a", "b").distinct()
+    met = met.filter(S.abbreviated(F.col("a"), F.col("b")))
+    met = met.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct().withColumn("alias", F.lit(True))
+    out = close.join(met, ["a", "b"], "full_outer")
+    return out.select("a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("alias", F.lit(False)).alias("alias")).checkpoint()
+
+
+def near_groups(grouped: DataFrame) -> DataFrame:
+    """Ordered pairs (l_, r_ of groups()) with subject_sim, object_sim, s_alias, o_alias: names equal (similarity 1) or in name_pairs() on both sides.
+
+    Groups of equal subject and object are paired too. Pairs of names are joined to groups, so a name costs its own groups, and no pair is met but those
+    that are similar on both sides.
+    """
+    grouped = grouped.checkpoint() if checkpoints(grouped.sparkSession) else grouped
+    subjects, objects = name_pairs(grouped, "s"), name_pairs(grouped, "o")
+    l = grouped.select(*[F.col(c).alias(f"l_{c}") for c in grouped.columns])
+    r = grouped.select(*[F.col(c).alias(f"r_{c}") for c in grouped.columns])
+    s = subjects.select(F.col("a").alias("l_s"), F.col("b").alias("r_s"), F.col("sim").alias("subject_sim"), F.col("alias").alias("s_alias"))
+    o = objects.select(F.col("a").alias("l_o"), F.col("b").alias("r_o"), F.col("sim").alias("object_sim"), F.col("alias").alias("o_alias"))
+    one, no = F.lit(1.0), F.lit(False)
+    # an empty name equals an empty name, but is like none
+    both = l.join(r, (F.col("l_s") == F.col("r_s")) & (F.col("l_o") == F.col("r_o"))).filter("l_s <> ''").withColumns({"subject_sim": one, "object_sim": F.when(F.col("l_o") != "", 1.0).otherwise(0.0), "s_alias": no, "o_alias": no})
+    same_s = l.filter("l_s <> ''").join(o, "l_o").join(r, (F.col("l_s") == F.col("r_s")) & (o["r_o"] == r["r_o"])).drop(o["r_o"]).withColumns({"subject_sim": one, "s_alias": no})
+    same_o = l.filter("l_o <> ''").join(s, "l_s").join(r, (F.col("l_o") == F.col("r_o")) & (s["r_s"] == r["r_s"])).drop(s["r_s"]).withColumns({"object_sim": one, "o_alias": no})
+    neither = l.join(s.filter("subject_sim > 0"), "l_s").join(o.filter("object_sim > 0"), "l_o").join(r, ["r_s", "r_o"])
+    columns = [*l.columns, *r.columns, "subject_sim", "object_sim", "s_alias", "o_alias"]
+    out = both.select(columns)
+    for part in (same_s, same_o, neither):
+        out = out.unionByName(part.select(columns))
+    return out.withColumn("score", F.round(F.greatest("subject_sim", "object_sim"), 4))
+
+
+def _told(out: DataFrame) -> DataFrame:
+    out = out.filter("kind is not null")
+    return out.withColumn("tier", F.split_part("kind", F.lit(":"), F.lit(1))).withColumn("variant", F.split_part("kind", F.lit(":"), F.lit(2))).drop("kind")
 
 
 def near_matches(found: DataFrame, high: float = HIGH, medium: float = MEDIUM) -> DataFrame:
-    """scored() pairs of different domains with `tier` (high, medium) and `variant`; others are left out."""
+    """near_groups() of different domains with `tier` (high, medium) and `variant`; others are left out."""
     s, o = F.col("subject_sim"), F.col("object_sim")
     same, s_eq, o_eq = F.col("l_predicate") == F.col("r_predicate"), F.col("l_s") == F.col("r_s"), F.col("l_o") == F.col("r_o")
     kind = (
@@ -83,49 +107,81 @@ def near_matches(found: DataFrame, high: float = HIGH, medium: float = MEDIUM) -
         .when((s >= high) & (o >= high), F.when(o <= s, "high:object_variant").otherwise("high:subject_variant"))
         .when((s >= medium) & (o >= medium), F.when(s <= o, "medium:subject_variant").otherwise("medium:object_variant"))
     )
-    out = found.filter(F.array_sort("l_domains") != F.array_sort("r_domains")).withColumn("kind", kind).filter("kind is not null")
-    return out.withColumn("tier", F.split_part("kind", F.lit(":"), F.lit(1))).withColumn("variant", F.split_part("kind", F.lit(":"), F.lit(2))).drop("kind")
+    return _told(found.filter("l_domains <> r_domains").withColumn("kind", kind))
+
+
+def _apart():
+    return (F.size("l_domains") > 0) & (F.size("r_domains") > 0) & ~F.arrays_overlap("l_domains", "r_domains")
 
 
 def link_candidates(found: DataFrame, high: float = HIGH, medium: float = MEDIUM) -> DataFrame:
-    """scored() pairs of disjoint domains in three tiers; another predicate never makes a high one; abbreviations count as equal words."""
+    """near_groups() of disjoint domains in three tiers; another predicate never makes a high one; abbreviations count as equal words.
+
+    Pairs with one name equal and the other unlike are candidates too: link_report() counts them, without a row for each.
+    """
     s, o = F.col("subject_sim"), F.col("object_sim")
     same, s_eq, o_eq = F.col("l_predicate") == F.col("r_predicate"), F.col("l_s") == F.col("r_s"), F.col("l_o") == F.col("r_o")
-    s_al, o_al = S.abbreviated(F.col("l_s"), F.col("r_s")), S.abbreviated(F.col("l_o"), F.col("r_o"))
     weaker = F.when(s <= o, "subject_variant").otherwise("object_variant")
     equal = (
         F.when(s_eq & o_eq, F.lit(None))
-        .when(s_eq & (o_al | (o >= high)), "high:object_variant")
-        .when(o_eq & (s_al | (s >= high)), "high:subject_variant")
+        .when(s_eq & (F.col("o_alias") | (o >= high)), "high:object_variant")
+        .when(o_eq & (F.col("s_alias") | (s >= high)), "high:subject_variant")
         .when((s >= high) & (o >= high), F.concat(F.lit("high:"), weaker))
         .when(s_eq, "medium:object_variant")
         .when(o_eq, "medium:subject_variant")
         .when((s >= medium) & (o >= medium), F.concat(F.lit("medium:"), weaker))
     )
     other = F.when((s >= high) & (o >= high), "medium:predicate_variant").when(s_eq | o_eq | ((s >= medium) & (o >= medium)), "low:predicate_variant")
-    apart = (F.size("l_domains") > 0) & (F.size("r_domains") > 0) & ~F.arrays_overlap("l_domains", "r_domains")
-    out = found.filter(apart).withColumn("kind", F.when(same, equal).otherwise(other)).filter("kind is not null")
-    return out.withColumn("tier", F.split_part("kind", F.lit(":"), F.lit(1))).withColumn("variant", F.split_part("kind", F.lit(":"), F.lit(2))).drop("kind")
+    return _told(found.filter(_apart()).withColumn("kind", F.when(same, equal).otherwise(other)))
 
 
-def best_matches(matches: DataFrame) -> DataFrame:
-    """Of each fact the match of highest tier, then score, then least id."""
-    both = matches.select(F.col("l_id").alias("id"), F.col("r_id").alias("match"), "tier", "score").union(matches.select("r_id", "l_id", "tier", "score"))
-    rank = F.when(F.col("tier") == "high", 3).when(F.col("tier") == "medium", 2).otherwise(1)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(rank), F.desc("score"), "match"))
-    return both.withColumn("__r", place).filter("__r = 1").drop("__r")
+def _apart_of_one(grouped: DataFrame, name: str, same: bool) -> DataFrame:
+    """(n): ordered pairs of facts with one name in common, of disjoint domains, of one predicate or of two: sums over sets of domains, not over facts."""
+    sides = grouped.filter(F.col(name) != "").groupBy(name, "predicate", "domains").agg(F.sum("n").alias("n"))
+    l, r = (sides.select(F.col(name).alias("k"), *[F.col(c).alias(f"{x}_{c}") for c in ("predicate", "domains", "n")]) for x in "lr")
+    met = l.join(r, "k").filter("l_predicate = r_predicate" if same else "l_predicate <> r_predicate")
+    return met.filter(_apart()).agg(F.coalesce(F.sum(F.col("l_n") * F.col("r_n")), F.lit(0)).alias("n"))
 
 
-def verified_clusters(matches: DataFrame, facts: DataFrame, quorum: int = 3) -> DataFrame:
-    """Clusters of high matches that together reach the quorum of domains: (root, members, domains)."""
-    edges = matches.filter("tier = 'high'").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    members = G.components(edges).join(facts.select(F.col("id").alias("node"), "domains"), "node")
-    out = members.groupBy("root").agg(F.count_distinct("node").alias("members"), F.size(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"))
-    return out.filter((F.col("members") > 1) & (F.col("domains") >= quorum))
+def link_report(grouped: DataFrame) -> DataFrame:
+    """(tier, variant, n) of link candidates between facts: similar names are met pair by pair, those with one name equal and the other unlike are what is
+    left of all pairs with that name."""
+    found = near_groups(grouped)
+    met = found.filter(_apart())
+    listed = link_candidates(found).groupBy("tier", "variant").agg(F.sum(F.col("l_n") * F.col("r_n")).alias("n"))
+    rest = None
+    for name, variant in (("s", "object_variant"), ("o", "subject_variant")):
+        seen = met.filter(f"l_{name} = r_{name} and l_{name} <> ''")
+        for same, kind in ((True, f"medium:{variant}"), (False, "low:predicate_variant")):
+            pairs = seen.filter("l_predicate = r_predicate" if same else "l_predicate <> r_predicate").agg(F.coalesce(F.sum(F.col("l_n") * F.col("r_n")), F.lit(0)).alias("seen"))
+            one = _apart_of_one(grouped, name, same).join(pairs).select(F.lit(kind.split(":")[0]).alias("tier"), F.lit(kind.split(":")[1]).alias("variant"), (F.col("n") - F.col("seen")).alias("n"))
+            rest = one if rest is None else rest.unionByName(one)
+    return listed.unionByName(rest).groupBy("tier", "variant").agg((F.sum("n") / 2).cast("bigint").alias("n")).filter("n > 0")
 
 
 def match_report(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("tier", "variant").agg(F.count("*").alias("n"))
+    """(tier, variant, n): pairs of facts, of ordered pairs of groups."""
+    return matches.groupBy("tier", "variant").agg((F.sum(F.col("l_n") * F.col("r_n")) / 2).cast("bigint").alias("n"))
+
+
+def best_matches(matches: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, match, tier, score): of each fact the match of highest tier, then score, then least id: worked out for groups, whose facts share it."""
+    rank = F.when(F.col("tier") == "high", 3).when(F.col("tier") == "medium", 2).otherwise(1)
+    best = F.min_by(F.struct(F.col("r_first").alias("match"), "tier", "score"), F.struct(-rank, -F.col("score"), "r_first"))
+    best = matches.groupBy("l_s", "l_o", "l_predicate", "l_domains").agg(best.alias("b"))
+    own = facts.select("id", S.norm(F.col("subject")).alias("l_s"), S.norm(F.col("object")).alias("l_o"), F.col("predicate").alias("l_predicate"), F.array_sort(F.array_distinct("domains")).alias("l_domains"))
+    return own.join(best, ["l_s", "l_o", "l_predicate", "l_domains"]).select("id", "b.*")
+
+
+def verified_clusters(matches: DataFrame, facts: DataFrame, quorum: int = 3) -> DataFrame:
+    """Clusters of high matches that together reach the quorum of domains: (root, members, domains). A group that matches has all its facts in one cluster."""
+    edges = matches.filter("tier = 'high'").select(F.col("l_first").alias("a"), F.col("r_first").alias("b"))
+    roots = G.components(edges)
+    key = [S.norm(F.col("subject")).alias("s"), S.norm(F.col("object")).alias("o"), "predicate", F.array_sort(F.array_distinct("domains")).alias("domains")]
+    named = groups(facts).join(roots, F.col("first") == F.col("node")).select("s", "o", "predicate", "domains", "root")
+    members = facts.select("id", *key).join(named, ["s", "o", "predicate", "domains"])
+    out = members.groupBy("root").agg(F.count_distinct("id").alias("members"), F.size(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("domains"))
+    return out.filter((F.col("members") > 1) & (F.col("domains") >= quorum))
 
 
 def training_gate(records: DataFrame, least: int = 100, top_share: float = 0.5) -> DataFrame:

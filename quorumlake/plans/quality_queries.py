@@ -232,23 +232,24 @@ def _facts(t):
 
 @query("a15_near_match_report")
 def _(t):
-    return U.match_report(U.near_matches(U.scored(U.pairs(_facts(t)))))
+    return U.match_report(U.near_matches(U.near_groups(U.groups(_facts(t)))))
 
 
 @query("a16_link_candidates")
 def _(t):
-    return U.match_report(U.link_candidates(U.scored(U.pairs(_facts(t)))))
+    return U.link_report(U.groups(_facts(t)))
 
 
 @query("w07_best_matches")
 def _(t):
-    return U.best_matches(U.near_matches(U.scored(U.pairs(_facts(t)))))
+    facts = _facts(t)
+    return U.best_matches(U.near_matches(U.near_groups(U.groups(facts))), facts)
 
 
 @query("a15_verified_clusters")
 def _(t):
     facts = _facts(t)
-    return U.verified_clusters(U.near_matches(U.scored(U.pairs(facts))), facts, 2)
+    return U.verified_clusters(U.near_matches(U.near_groups(U.groups(facts))), facts, 2)
 
 
 @query("c09_jaccard_pairs", "WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM b a JOIN b ON a.item_id < b.item_id) SELECT a, b, i::BIGINT AS shared, u::BIGINT AS either FROM p WHERE i * 7 >= u")

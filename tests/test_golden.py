@@ -107,40 +107,108 @@ def test_near_matches(spark):
         [(1, "Santos FC", "VENCEU", "Copa do Brasil", ["a.com"]), (2, "Santos F C", "VENCEU", "Copa do Brasil", ["b.com"]), (3, "Santos FC", "VENCEU", "Copa Brasil", ["c.com"]), (4, "Outro", "SER", "Nada", ["d.com"])],
         "id int, subject string, predicate string, object string, domains array<string>",
     )
-    found = U.near_matches(U.scored(U.pairs(facts)))
-    assert {(r.l_id, r.r_id, r.tier) for r in found.collect()} == {(1, 2, "high"), (2, 3, "high")}
+    found = U.near_matches(U.near_groups(U.groups(facts)))
+    assert {(r.l_first, r.r_first, r.tier) for r in found.collect()} == {(1, 2, "high"), (2, 1, "high"), (2, 3, "high"), (3, 2, "high")}
     assert [(r.members, r.domains) for r in U.verified_clusters(found, facts, 2).collect()] == [(3, 3)]
 
 
-def test_near_matches_as_all_pairs(spark):
-    """Every pair of names, with typos, other predicates and no common word, by the definition of similarity."""
-    r = random.Random(4)
+def _norm(x):
+    return " ".join(w for w in x.split() if w not in S.STOPWORDS)
+
+
+def _sim(a, b):
+    if not a or not b:
+        return 0.0
+    x, y = set(a.split()), set(b.split())
+    value = 1.0 if a == b else round(max(len(x & y) / len(x | y), SequenceMatcher(None, min(a, b), max(a, b)).ratio()), 4)
+    return value if value >= 0.6 else 0.0
+
+
+def _alias(a, b):
+    return any(short in x and set(long) <= y and (x - {short}) & y for x, y in ((set(a.split()), set(b.split())), (set(b.split()), set(a.split()))) for short, long in S.ABBREVIATIONS.items())
+
+
+def _near_kind(s, o, same, s_eq, o_eq):
+    if not same:
+        return ("medium", "predicate_variant") if s >= 0.85 and o >= 0.85 else None
+    if s_eq and o_eq:
+        return None
+    if s_eq and o >= 0.85:
+        return "high", "object_variant"
+    if o_eq and s >= 0.85:
+        return "high", "subject_variant"
+    if s >= 0.85 and o >= 0.85:
+        return "high", "object_variant" if o <= s else "subject_variant"
+    return ("medium", "subject_variant" if s <= o else "object_variant") if s >= 0.6 and o >= 0.6 else None
+
+
+def _link_kind(s, o, same, s_eq, o_eq, s_al, o_al):
+    weaker = "subject_variant" if s <= o else "object_variant"
+    if not same:
+        return ("medium", "predicate_variant") if s >= 0.85 and o >= 0.85 else ("low", "predicate_variant") if s_eq or o_eq or s >= 0.6 and o >= 0.6 else None
+    if s_eq and o_eq:
+        return None
+    if s_eq and (o_al or o >= 0.85):
+        return "high", "object_variant"
+    if o_eq and (s_al or s >= 0.85):
+        return "high", "subject_variant"
+    if s >= 0.85 and o >= 0.85:
+        return "high", weaker
+    if s_eq:
+        return "medium", "object_variant"
+    if o_eq:
+        return "medium", "subject_variant"
+    return ("medium", weaker) if s >= 0.6 and o >= 0.6 else None
+
+
+def _facts(r, n):
     names = ["botafogo", "bota fogo sa", "santos", "sant0s", "abcabcabc", "axbxcxaxb", "copa do brasil", "copa brasil 1", "a b c", "a b d", "x", "xy", "vasco gama", "gama vasco", "flamengo", "framengo", ""]
-    names += ["".join(r.choices("abcd ", k=r.randrange(3, 14))) for _ in range(25)]
-    rows = [(i, r.choice(names), r.choice("PQ"), r.choice(names), [r.choice("uvw")]) for i in range(150)]
-    facts = spark.createDataFrame(rows, "id int, subject string, predicate string, object string, domains array<string>")
-
-    def norm(x):
-        return " ".join(w for w in x.split() if w not in S.STOPWORDS)
+    names += ["santos fc", "santos futebol clube", "fc vila", "vila nova futebol clube", "o santos", "flamengos", "botafogos", "copa do brasil 1", "ec bahia", "esporte clube bahia e mais palavras longas"]
+    names += ["".join(r.choices("abcd ", k=r.randrange(3, 14))) for _ in range(15)]
+    return [(i, r.choice(names), r.choice("PQ"), r.choice(names), r.choice([["u"], ["v"], ["w"], ["v", "u"], ["u", "v", "u"], []])) for i in range(n)]
 
-    def sim(a, b):
-        if not a or not b:
-            return 0.0
-        x, y = set(a.split()), set(b.split())
-        return 1.0 if a == b else round(max(len(x & y) / len(x | y), SequenceMatcher(None, a, b).ratio()), 4)
 
-    want = set()
+def test_near_matches_as_all_pairs(spark):
+    """Tiers, best matches and clusters of every pair of facts, with typos, abbreviations, other predicates and no common word, by their definitions."""
+    rows = _facts(random.Random(5), 260)
+    facts = spark.createDataFrame(rows, "id int, subject string, predicate string, object string, domains array<string>")
+    near, link, edges = {}, {}, []
     for a, b in combinations(rows, 2):
-        s, o = (min(p, q) + "|" + max(p, q) for p, q in ((norm(a[1]), norm(b[1])), (norm(a[3]), norm(b[3]))))
-        equal = any(x.split("|")[0] == x.split("|")[1] != "" for x in (s, o))
-        s, o = sim(*s.split("|")), sim(*o.split("|"))
-        if (s >= 0.6 and o >= 0.6) or equal:
-            want.add((a[0], b[0], s if s >= 0.6 else 0.0, o if o >= 0.6 else 0.0))
-    got = U.pairs(facts).collect()
-    assert {(x.l_id, x.r_id, x.subject_sim, x.object_sim) for x in got} == want and len(got) == len(want)
-    tiers = {(x.tier, x.variant) for x in U.link_candidates(U.scored(U.pairs(facts))).collect()}
-    assert ("low", "predicate_variant") in tiers and ("medium", "predicate_variant") in tiers and any(t == "high" for t, _ in tiers)
-    assert ("medium", "predicate_variant") in {(x.tier, x.variant) for x in U.near_matches(U.scored(U.pairs(facts))).collect()}
+        (s1, o1), (s2, o2) = ((_norm(x[1]), _norm(x[3])) for x in (a, b))
+        s, o, same = _sim(s1, s2), _sim(o1, o2), a[2] == b[2]
+        d1, d2 = set(a[4]), set(b[4])
+        if d1 != d2 and (kind := _near_kind(s, o, same, s1 == s2 != "", o1 == o2 != "")):
+            near.setdefault(kind, []).append((a[0], b[0], max(s, o)))
+        if d1 and d2 and not d1 & d2 and (s and o or s1 == s2 != "" or o1 == o2 != "") and (kind := _link_kind(s, o, same, s1 == s2, o1 == o2, _alias(s1, s2), _alias(o1, o2))):
+            link[kind] = link.get(kind, 0) + 1
+    grouped = U.groups(facts)
+    found = U.near_matches(U.near_groups(grouped))
+    assert {(r.tier, r.variant): r.n for r in U.match_report(found).collect()} == {k: len(v) for k, v in near.items()}
+    assert len(near) == 5
+    assert {(r.tier, r.variant): r.n for r in U.link_report(grouped).collect()} == link
+    assert len(link) >= 5
+    best = {}
+    for (tier, _), pairs in near.items():
+        for a, b, score in pairs:
+            for x, y in ((a, b), (b, a)):
+                best.setdefault(x, []).append(({"high": 0, "medium": 1}[tier], -score, y))
+    assert {r.id: (r.match, r.tier, r.score) for r in U.best_matches(found, facts).collect()} == {k: (y, ["high", "medium"][t], -s) for k, v in best.items() for t, s, y in [min(v)]}
+    edges = [(a, b) for (tier, _), v in near.items() if tier == "high" for a, b, _ in v]
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    domains = {}
+    for i, k in root.items():
+        domains.setdefault(k, set()).update(rows[i][4])
+    want = sorted((sum(1 for x in root.values() if x == k), len(d)) for k, d in domains.items() if len(d) >= 2)
+    assert sorted((r.members, r.domains) for r in U.verified_clusters(found, facts, 2).collect()) == want and want
+
+
+def test_near_matches_of_nothing(spark):
+    facts = spark.createDataFrame([], "id int, subject string, predicate string, object string, domains array<string>")
+    found = U.near_matches(U.near_groups(U.groups(facts)))
+    assert U.match_report(found).collect() == U.link_report(U.groups(facts)).collect() == U.best_matches(found, facts).collect() == []
 
 
 def test_consolidation_is_idempotent_unless_additive(spark):
