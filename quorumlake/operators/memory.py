@@ -5,6 +5,7 @@ episodes: fact_hash, day, subject, predicate, object, source_domain, status, cre
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,15 +94,37 @@ def rate_limit(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def working_memory(activations: DataFrame, capacity: int = 7, seconds: int = 300) -> DataFrame:
-    """activations (mind, concept, ts) with the concepts active then: the `capacity` last activated ones of the last seconds."""
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    frame = Window.partitionBy("mind").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
-    seen = F.collect_list(F.struct("t", "concept")).over(frame)
-    out = activations.withColumn("t", t).withColumn("seen", seen)
-    names = F.array_distinct(F.transform("seen", lambda x: x["concept"]))
-    last = F.transform(names, lambda c: F.struct(F.array_max(F.transform(F.filter(F.col("seen"), lambda x: x["concept"] == c), lambda x: x["t"])).alias("t"), c.alias("c")))
-    top = F.slice(F.reverse(F.array_sort(last)), 1, capacity)
-    return out.withColumn("active", F.array_sort(F.transform(top, lambda x: x["c"]))).drop("t", "seen")
+    """activations (mind, concept, ts) with the concepts active then: the `capacity` last activated ones of the last seconds (ties: the later name).
+
+    Blank and null concepts activate nothing. Moments of a mind go by in order, with no more than `capacity` concepts held. Time is cut into spans, each of
+    which starts with what was activated up to `seconds` before it, so a mind's moments are spread over tasks however many they are.
+    """
+    window, span = seconds * 1_000_000, 12 * seconds * 1_000_000
+    timed = activations.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp")))
+    concept = F.when(F.trim("concept") != "", F.col("concept"))
+    moments = timed.groupBy("mind", F.col("__t").alias("t")).agg(F.collect_set(concept).alias("concepts")).withColumn("own", F.floor(F.col("t") / span))
+    warm = F.col("t") >= (F.col("own") + 1) * span - window
+    spread = moments.withColumn("span", F.explode(F.when(warm, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
+    kind = activations.schema["mind"].dataType.simpleString()
+
+    def run(batches):
+        at, held = None, {}
+        for b in batches:
+            minds, spans, times, names, owns = (b.column(c).to_pylist() for c in ("mind", "span", "t", "concepts", "own"))
+            out = []
+            for mind, part, t, said, own in zip(minds, spans, times, names, owns, strict=True):
+                if at != (mind, part):
+                    at, held = (mind, part), {}
+                held |= dict.fromkeys(said, t)
+                held = {c: x for c, x in held.items() if x >= t - window}
+                held = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[-capacity:])
+                if own == part:
+                    out.append((mind, t, sorted(held)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.column("mind").type), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["__mind", "__at", "active"])
+
+    active = spread.repartition("mind", "span").sortWithinPartitions("mind", "span", "t").mapInArrow(run, f"__mind {kind}, __at bigint, active array<string>")
+    same = F.col("mind").eqNullSafe(F.col("__mind")) & F.col("__t").eqNullSafe(F.col("__at"))
+    return timed.join(active, same).drop("__mind", "__at", "__t")
 
 
 def coactivations(active: DataFrame) -> DataFrame:
