@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.small import checkpoints
+
 
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """Signed feature hashing of the words (blake2b, of which Spark has no builtin), normalised; zeros without words."""
@@ -74,28 +76,61 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, block: int = 1024)
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def resolve_entities(names: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """names (block, seq, name, v) with `leader`: in order of first appearance, the nearest earlier leader of the block within the threshold, else itself.
+def similar_names(names: DataFrame, threshold: float, tile: int = 1024) -> DataFrame:
+    """(block, early, late, score) of names (block, name, first, v): pairs of a block of a cosine of `threshold` or more, the one seen first as `early`.
 
-    The order matters, so the distinct names of a block are gone through in one task; each name has the leader of its first
-    appearance, and rows, however many, are joined to that. Blocks (such as the first letters) keep them small.
+    A block is dealt into tiles of about `tile` names, and each pair of tiles is one product in a task of its own.
     """
+    n = names.groupBy("block").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    dealt = names.join(n, "block").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("tiles")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
+    rows = dealt.select("block", F.col("mine").alias("i"), every.alias("j"), "name", "first", "v").filter("i <= j")
+    columns = dealt.select("block", every.alias("i"), F.col("mine").alias("j"), "name", "first", "v").filter("i <= j").toDF("block", "i", "j", "name", "first", "v")
+
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.array(v.tolist(), float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"block": [], "early": [], "late": [], "score": []})
+        s = unit(left.v) @ unit(right.v).T
+        # products round otherwise than the threshold does
+        a, b = np.nonzero(s >= threshold - 1e-9)
+        l, r = left.iloc[a].reset_index(drop=True), right.iloc[b].reset_index(drop=True)
+        before = (l["first"] < r["first"]) | ((l["first"] == r["first"]) & (l["name"] < r["name"]))
+        keep = (l["name"] != r["name"]).to_numpy() & (before.to_numpy() if key[1] == key[2] else True)
+        early = np.where(before, l["name"], r["name"])
+        late = np.where(before, r["name"], l["name"])
+        return pd.DataFrame({"block": key[0], "early": early, "late": late, "score": np.round(s[a, b], 9)})[keep]
+
+    kind = names.schema["block"].dataType.simpleString()
+    key = ["block", "i", "j"]
+    return rows.groupBy(*key).cogroup(columns.groupBy(*key)).applyInPandas(run, f"block {kind}, early string, late string, score double")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", kind="stable")
-        x = np.array(pdf.v.tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        lead, leaders, out = np.zeros_like(x), [], []
-        for i in range(len(x)):
-            s = lead[: len(leaders)] @ x[i]
-            if len(s) and s.max() >= threshold:
-                out.append(leaders[int(s.argmax())])
-            else:
-                out.append(i)
-                lead[len(leaders)] = x[i]
-                leaders.append(i)
-        return pdf[["block", "name"]].assign(leader=pdf.name.to_numpy()[out])
-
-    distinct = names.groupBy("block", "name").agg(F.min("seq").alias("first"), F.min_by("v", "seq").alias("v"))
-    led = distinct.groupBy("block").applyInPandas(run, "block string, name string, leader string")
-    return names.select("block", "seq", "name").join(led, ["block", "name"]).select("block", "seq", "name", "leader")
+def resolve_entities(names: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """names (block, seq, name, v) with `leader`: in order of first appearance, the nearest earlier leader of the block within the threshold, else itself
+    (of equally near ones the earliest).
+
+    As if one name after the other were looked at, but in rounds on the graph of similar names: a name leads once no earlier one that is like it is
+    undecided or leads, and follows once one leads. Every round decides at least the earliest undecided name of each part of the graph, and
+    in practice most of them. Names of null blocks or names come back as they are.
+    """
+    checkpoints(names.sparkSession)
+    distinct = names.filter("block is not null and name is not null").groupBy("block", "name").agg(F.min("seq").alias("first"), F.min_by("v", "seq").alias("v")).checkpoint()
+    edges = similar_names(distinct, threshold).checkpoint()
+    # true leads, false follows, null is undecided; names that are like no earlier one lead from the start
+    state = distinct.select("block", "name").join(edges.select("block", F.col("late").alias("name")).distinct().withColumn("waits", F.lit(True)), ["block", "name"], "left")
+    state = state.select("block", "name", F.when(F.col("waits").isNull(), True).alias("leads")).checkpoint()
+    while not state.filter("leads is null").isEmpty():
+        open_ = edges.join(state.filter("leads is null").select("block", F.col("name").alias("late")), ["block", "late"])
+        seen = open_.join(state.select("block", F.col("name").alias("early"), "leads"), ["block", "early"])
+        now = seen.groupBy("block", F.col("late").alias("name")).agg(F.bool_or("leads").alias("led"), F.bool_or(F.col("leads").isNull()).alias("open"))
+        told = F.when(F.col("led"), False).when(~F.col("open"), True)
+        state = state.join(now, ["block", "name"], "left").select("block", "name", F.coalesce("leads", told).alias("leads")).checkpoint()
+    near = edges.join(state.filter("leads").select("block", F.col("name").alias("early")), ["block", "early"])
+    near = near.join(distinct.select("block", F.col("name").alias("early"), "first"), ["block", "early"])
+    best = near.groupBy("block", F.col("late").alias("name")).agg(F.min_by("early", F.struct(-F.col("score"), "first", "early")).alias("leader"))
+    best = best.join(state.filter("not leads"), ["block", "name"], "left_semi")
+    return names.select("block", "seq", "name").join(best, ["block", "name"], "left").select("block", "seq", "name", F.coalesce("leader", "name").alias("leader"))
