@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .shared import cut
 
-#: Bytes of text cut into words at a time; windows that a task sums at once, and sums that it adds up before it passes them on.
-TEXT, HELD, PASSED = 2 << 20, 1 << 19, 1 << 21
+#: Bytes of text cut into words at a time; windows that a task sums before it passes them on.
+TEXT, HELD = 2 << 20, 1 << 19
 #: Documents of the sample, about; a prefix that makes up one in HOT of its windows (so HOT prefixes at most) is dealt over SALTS tasks.
 SAMPLE, HOT, SALTS = 2_000, 1_000, 64
 
@@ -71,19 +71,11 @@ def _summed_windows(docs: DataFrame, order: int, hot: list[str]) -> DataFrame:
 
     def run(batches):
         held: list[pa.Table] = []
-        sums: list[pa.Table] = []
-
-        def summed() -> None:
-            if held:
-                sums.append(pa.concat_tables(held).combine_chunks().group_by(["prefix", "last"]).aggregate([([], "count_all")]).rename_columns(["prefix", "last", "n"]))
-                held.clear()
-
-        def passed():
-            all_ = pa.concat_tables(sums).combine_chunks()
-            if len(sums) > 1:
-                all_ = all_.group_by(["prefix", "last"]).aggregate([("n", "sum")]).combine_chunks()
-            sums.clear()
-            for b in all_.to_batches(max_chunksize=1 << 16):
+
+        def summed():
+            g = pa.concat_tables(held).combine_chunks().group_by(["prefix", "last"]).aggregate([([], "count_all")])
+            held.clear()
+            for b in g.sort_by("prefix").combine_chunks().to_batches(max_chunksize=1 << 16):  # neighbours alike shuffle smaller
                 yield pa.RecordBatch.from_arrays([salted(b.column(0), b.column(1)), b.column(1), b.column(2)], ["prefix", "last", "n"])
 
         for b in batches:
@@ -95,13 +87,10 @@ def _summed_windows(docs: DataFrame, order: int, hot: list[str]) -> DataFrame:
                 for t in _windows(b.column("lang")[at:to], texts[at:to], order):
                     held.append(t)
                     if sum(map(len, held)) >= HELD:
-                        summed()
-                        if sum(map(len, sums)) >= PASSED:
-                            yield from passed()
+                        yield from summed()
                 at = to
-        summed()
-        if sums:
-            yield from passed()
+        if held:
+            yield from summed()
 
     return docs.mapInArrow(run, "prefix string, last string, n bigint")
 

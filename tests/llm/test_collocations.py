@@ -55,7 +55,6 @@ def test_as_brute_force(spark, order, least, cover, top):
 def test_small_pieces_of_work_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(collocations, "TEXT", 50)
     monkeypatch.setattr(collocations, "HELD", 40)
-    monkeypatch.setattr(collocations, "PASSED", 100)
     monkeypatch.setattr(collocations, "HOT", 10)
     monkeypatch.setattr(collocations, "SALTS", 3)
     rows = corpus(9)[:60]
