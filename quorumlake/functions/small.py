@@ -1,19 +1,9 @@
-"""Broadcasts of checked size, and the shared folder."""
+"""The shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def checked_broadcast(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """df to be broadcast, after counting it up to `rows`. For joins by containment, which have no key to shuffle by: more rows are an error."""
-    if df.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} rows: too many to compare each text with")
-    return F.broadcast(df)
-
 
 def checkpoints(spark) -> str:
     """The shared folder of spark.checkpoint.dir, which is set up for checkpoints. Only on one machine (tests) is a folder made where it is unset."""

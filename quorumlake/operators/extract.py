@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.small import checked_broadcast
+from .containment import contained
 from .refine import map_predicate
 
 # fixed values
@@ -132,7 +132,8 @@ def geo_cities(entries: DataFrame, stadiums: DataFrame) -> DataFrame:
     rows = entries.select(F.from_json("json", schema).alias("j")).select("j.*").filter(~F.coalesce(F.col("class"), F.lit("")).isin("highway", "office", "railway"))
     city = F.coalesce(F.col("address")["city"], F.col("address")["town"], F.col("address")["municipality"])
     rows = rows.select("place_id", T.fold_key(F.col("name")).alias("n"), city.alias("city")).filter("city is not null")
-    hit = rows.join(checked_broadcast(stadiums), F.contains("n", T.fold_key(F.col("alias"))))
+    named = stadiums.select("stadium", T.fold_key(F.col("alias")).alias("__alias"))
+    hit = contained(rows, ["place_id", "n"], "n", named, "__alias")
     one = hit.groupBy("place_id", "city").agg(F.count_distinct("stadium").alias("k"), F.min("stadium").alias("stadium")).filter("k = 1")
     out = one.groupBy("stadium").agg(F.count_distinct(T.fold_key(F.col("city"))).alias("k"), F.min("city").alias("city")).filter("k = 1")
     return out.select(F.col("stadium").alias("subject"), F.lit("LOCALIZADO_EM").alias("predicate"), F.col("city").alias("object"))
@@ -147,11 +148,11 @@ def located(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def cooccurrences(rows: DataFrame, first: DataFrame, second: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Sentences that name an entity of each list (name; both are small): (id, a, b, sentences)."""
+    """Sentences that name an entity of each list (name), of which there may be any number: (id, a, b, sentences)."""
     s = rows.select(id_col, F.posexplode(T.sentences(F.col("text"))).alias("n", "s")).withColumn("k", T.fold_span(F.col("s")))
-    a = first.select(F.col("name").alias("a"))
-    b = second.select(F.col("name").alias("b"))
-    hit = s.join(checked_broadcast(a), F.contains("k", T.fold_span(F.col("a")))).join(checked_broadcast(b), F.contains("k", T.fold_span(F.col("b"))))
+    a = first.select(F.col("name").alias("a"), T.fold_span(F.col("name")).alias("__a"))
+    b = second.select(F.col("name").alias("b"), T.fold_span(F.col("name")).alias("__b"))
+    hit = contained(contained(s, [id_col, "n"], "k", a, "__a"), [id_col, "n", "a"], "k", b, "__b")
     return hit.groupBy(id_col, "a", "b").agg(F.count("*").alias("sentences"))
 
 

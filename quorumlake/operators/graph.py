@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.small import checked_broadcast, checkpoints
+from ..functions.small import checkpoints
+from .containment import contained
 
 QUORUM = 3
 
@@ -183,9 +184,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def search_context(edges: DataFrame, words: DataFrame, top: int = 8) -> DataFrame:
-    """Edges whose subject or object contains a keyword (words: keyword), distinct, in order. Keywords are a handful; they are broadcast."""
-    hit = F.contains(F.lower("subject"), F.lower("keyword")) | F.contains(F.lower("object"), F.lower("keyword"))
-    return edges.join(checked_broadcast(words), hit, "left_semi").distinct().orderBy("subject", "predicate", "object").limit(top)
+    """Edges whose subject or object contains a keyword (words: keyword), distinct, in order."""
+    keys = words.select(F.lower("keyword").alias("__word")).distinct()
+    names = edges.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumn("__low", F.lower("name"))
+    hit = contained(names, ["name"], "__low", keys, "__word").select("name").distinct()
+    ends = edges.join(hit.select(F.col("name").alias("subject")), "subject", "left_semi").unionByName(edges.join(hit.select(F.col("name").alias("object")), "object", "left_semi"))
+    return ends.distinct().orderBy("subject", "predicate", "object").limit(top)
 
 
 def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.small import checked_broadcast
+from .containment import contained
 
 # fixed values
 YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
@@ -94,7 +94,7 @@ def told_places(pages: DataFrame, stadiums: DataFrame, cities: DataFrame, id_col
     """(id, subject, LOCALIZADO_EM, object) of articles that name one stadium (alias, stadium), by the first phrase of location whose place is a known city (city)."""
     text = T.strip_html(F.col("html"))
     x = pages.select(id_col, T.fold_span(text).alias("folded"), F.lower(T.unaccent(text)).alias("low"))
-    hit = x.join(checked_broadcast(stadiums), F.contains("folded", T.fold_span(F.col("alias"))))
+    hit = contained(x, [id_col], "folded", stadiums.select("stadium", T.fold_span(F.col("alias")).alias("__alias")), "__alias")
     one = hit.groupBy(id_col).agg(F.count_distinct("stadium").alias("k"), F.min("stadium").alias("subject"), F.first("low").alias("low")).filter("k = 1")
     places = F.array(*[F.regexp_extract("low", rf"\b{p} ([a-z'`\- ]{{3,40}})", 1) for p in PLACE_PHRASES])
     one = one.select(id_col, "subject", F.posexplode(places).alias("pos", "place"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..functions.small import checked_broadcast
+from .containment import contained
 
 MAX_TOKENS, MAX_CHARS = 8, 60
 
@@ -290,14 +290,16 @@ def contains_fact(c: Column, fact: Column) -> Column:
 
 
 def containing(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(doc_id, item_id): contains_fact of every text and every fact (item_id, text), of which there are few: all their words are looked up once a text."""
+    """(doc_id, item_id): contains_fact of every text and every fact (item_id, text): the words of all facts are looked for once a text; ids that repeat count once."""
     words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) >= 4)
-    rows = checked_broadcast(facts.select("item_id", words.alias("words")).filter("size(words) > 0"))
-    told = rows.agg(F.collect_list(F.struct("item_id", "words")).alias("facts"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"))
-    found = docs.select("doc_id", F.lower("text").alias("low")).crossJoin(F.broadcast(told))  # one row of bounded size
-    found = found.withColumn("hit", F.filter("vocabulary", lambda w: F.contains(F.col("low"), w)))
-    fits = F.filter("facts", lambda f: 2 * F.size(F.filter(f["words"], lambda w: F.array_contains(F.col("hit"), w))) >= F.size(f["words"]))
-    return found.select("doc_id", F.explode(F.transform(fits, lambda f: f["item_id"])).alias("item_id"))
+    told = facts.select("item_id", words.alias("words")).filter("size(words) > 0").distinct()
+    spread = told.select("item_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    texts = docs.select("doc_id", F.lower("text").alias("low"))
+    # a word that a fact holds twice counts twice
+    spread = spread.groupBy("item_id", "n", "word").agg(F.count("*").alias("times"))
+    hit = contained(texts, ["doc_id"], "low", spread.select("word").distinct(), "word").select("doc_id", "word").distinct()
+    met = hit.join(spread, "word").groupBy("doc_id", "item_id", "n").agg(F.sum("times").alias("hits"))
+    return met.filter(F.col("hits") * 2 >= F.col("n")).select("doc_id", "item_id")
 
 
 def date_like(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..functions.small import checked_broadcast
+from .containment import contained
 
 
 def tokens(c: Column) -> Column:
@@ -110,11 +110,11 @@ def url_path(url: Column) -> Column:
 
 
 def pinned_subjects(pages: DataFrame, subjects: DataFrame) -> DataFrame:
-    """pages (url) with `pinned`: the subject (of pos, token, subject: a short list) of the first token that is in the path; null without."""
-    told = checked_broadcast(subjects).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "subject"))).alias("__told"))
-    rows = pages.crossJoin(F.broadcast(told)).withColumn("__path", url_path(F.col("url")))  # one row of bounded size
-    first = F.get(F.filter("__told", lambda s: F.contains(F.col("__path"), s["token"])), F.lit(0))
-    return rows.withColumn("pinned", first["subject"]).drop("__told", "__path")
+    """pages (url) with `pinned`: the subject (of pos, token, subject) of the first token that is in the path; null without."""
+    paths = pages.select("url").distinct().withColumn("__path", url_path(F.col("url")))
+    found = contained(paths, ["url"], "__path", subjects.select("pos", F.col("token").alias("__token"), F.col("subject").alias("__subject")), "__token")
+    first = found.groupBy(F.col("url").alias("__url")).agg(F.min_by("__subject", F.struct("pos", "__token", "__subject")).alias("pinned"))
+    return pages.join(first, F.col("url").eqNullSafe(F.col("__url")), "left").drop("__url")
 
 
 def extraction_policy(url: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import refine as R
 from .bindings import FACTS, OCC, occurrences
 from .quality_queries import _RAW, _VALUES, aliases, triples
+from ..operators.containment import contained
 from .registry import query
 
 _HOST = "regexp_replace(regexp_extract(lower(url), '^(?:[a-z]+://)?(?:[^/@]*@)?([^/:?#]+)', 1), '^www[.]', '')"
@@ -187,3 +188,20 @@ def _(t):
     w = F.session_window("ts", "6 hours")
     rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("events"))
     return rows.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("w.start")).cast("bigint").alias("session"), "events")
+
+
+@query(
+    "j05_phrases_in_texts",
+    r"""WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS phrase FROM w WHERE len(w) >= 3),
+d AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS t FROM documents)
+SELECT phrase, count(*) AS documents, min(doc_id) AS first_doc FROM d JOIN p ON contains(t, phrase) GROUP BY phrase""",
+)
+def _(t):
+    """In how many documents each stretch of three words of a benchmark item stands: all phrases are met at their rarest piece."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    phrases = t("benchmark").select(words.alias("w")).filter("size(w) >= 3").select(F.explode(triples).alias("phrase")).distinct()
+    texts = t("documents").select("doc_id", F.array_join(words, " ").alias("words"))
+    found = contained(texts, ["doc_id"], "words", phrases, "phrase", small=0)
+    return found.groupBy("phrase").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
