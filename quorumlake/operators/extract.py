@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.vocabulary import predicate_forms
 from .containment import contained
 from .refine import map_predicate
 
@@ -28,6 +30,55 @@ def svo(rows: DataFrame, verbs: tuple[str, ...] = VERBS, most: int = 10, id_col:
     return out.select(id_col, "pos", part[0].alias("subject"), map_predicate(part[1]).alias("predicate"), part[2].alias("object"))
 
 
+def trie_pattern(forms: list[str]) -> str:
+    """A regular expression of the forms with common beginnings written once, the longest form that fits first. Words of a form stand two spaces apart."""
+    trie: dict = {}
+    for form in forms:
+        node = trie
+        for ch in form.replace(" ", "  "):
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def said(node: dict) -> str:
+        ways = [re.escape(ch) + said(below) for ch, below in node.items() if ch]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return f"{body}?" if "" in node else body
+
+    return said(trie)
+
+
+def verb_triples(rows: DataFrame, forms: dict[str, str] | None = None, reach: int = 6, id_col: str = "doc_id") -> DataFrame:
+    """(id, clause, pos, subject, predicate, object): every verb form of a clause, with up to `reach` words on either side as far as the next one.
+
+    forms: folded form, of one or several words -> predicate (without: the controlled forms). At each word the longest form counts. Clauses
+    end at punctuation, brackets and line ends; spans keep the spelling of the text. Verbs with no word on one side make no triple.
+    """
+    table = predicate_forms() if forms is None else forms
+    clauses = rows.select(id_col, F.posexplode(F.split("text", r"[.;,:!?()\[\]\n\r]+")).alias("clause", "c"))
+    words = clauses.select(id_col, "clause", F.regexp_extract_all("c", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).filter("size(w) > 2")
+    folded = F.array_join(F.transform("w", lambda x: F.concat(F.lit(" "), F.regexp_replace(T.unaccent(x), "[^a-z0-9]", "_"), F.lit(" "))), "")
+    # every word stands between spaces of its own, so that a form takes whole words
+    marked = words.withColumn("m", F.regexp_replace(folded, f" ({trie_pattern(list(table))}) ", "\u0001$1\u0002")).filter(F.contains("m", F.lit("\u0001")))
+    parts = marked.withColumn("m", F.split("m", "[\u0001\u0002]")).withColumn("n", F.transform("m", lambda x: F.size(F.filter(F.split(x, " "), lambda y: y != ""))))
+
+    def verb(j: Column) -> Column:
+        at = F.aggregate(F.slice("n", 1, 2 * j - 1), F.lit(0), lambda a, x: a + x)
+        before, after = F.least(F.get("n", 2 * j - 2), F.lit(reach)), F.least(F.get("n", 2 * j), F.lit(reach))
+        return F.struct(
+            F.array_join(F.slice("w", at - before + 1, before), " ").alias("subject"), F.replace(F.get("m", 2 * j - 1), F.lit("  "), F.lit(" ")).alias("verb"),
+            F.array_join(F.slice("w", at + F.get("n", 2 * j - 1) + 1, after), " ").alias("object"),
+        )
+
+    found = parts.select(id_col, "clause", F.posexplode(F.transform(F.sequence(F.lit(1), F.floor((F.size("m") - 1) / 2).cast("int")), verb)).alias("pos", "t"))
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    found = found.filter("t.subject <> '' and t.object <> ''")
+    # few forms, many verbs: looked up once each
+    named = found.select(F.col("t.verb").alias("verb")).distinct().withColumn("predicate", F.try_element_at(known, F.col("verb")))
+    return found.select(id_col, "clause", "pos", "t.*").join(named, "verb").select(id_col, "clause", "pos", "subject", "predicate", "object")
+
+
 def confidence(subject: Column, predicate: Column, object_: Column) -> Column:
     """0.5, 0.15 more for each of a short subject, a short object and a known predicate; 0.99 at most."""
     short = [F.when(F.size(F.split(F.trim(c), r"\s+")) <= 4, 0.15).otherwise(0.0) for c in (subject, object_)]
