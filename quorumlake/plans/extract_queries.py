@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.vocabulary import predicate_forms
 from ..operators import extract as X
 from ..operators import graph as G
+from ..operators import questions as Q
 from ..operators import refine as RF
 from ..operators import retrieve as R
 from ..operators import seeds as S
@@ -296,3 +297,33 @@ def _(t):
 def _(t):
     w = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "s").when(F.col("p_size") % 3 == 1, "ss").otherwise(""))
     return t("part").select("p_partkey", T.singular(w).alias("w"))
+
+
+_WORDS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.KEYWORD_STOPWORDS) + "))"
+
+
+@query(
+    "r04_context_of_many",
+    OCC
+    + f""", e AS (SELECT DISTINCT subject, predicate, object, subject || '>' || predicate || '>' || object AS id FROM occ), q AS (SELECT vec_id AS question_id, embedding AS v, p_brand || ' of ' || p_type AS text FROM embeddings JOIN part ON p_partkey = vec_id + 1),
+w AS (SELECT question_id, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 6) AS w FROM (SELECT question_id, {_WORDS} AS w FROM q)),
+t AS (SELECT question_id, unnest(w) AS term FROM w), m AS (SELECT question_id, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS term FROM w),
+h AS (SELECT DISTINCT question_id, subject, predicate, object FROM t JOIN e ON contains(lower(subject), term) OR contains(lower(object), term)),
+f AS (SELECT question_id, 0 AS k, subject || ' ' || predicate || ' ' || object AS text FROM h QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY subject, predicate, object) <= 8),
+v AS (SELECT q.question_id, 1 AS k, 'memory ' || x.vec_id AS text FROM q, embeddings x QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) DESC, x.vec_id) <= 3),
+b AS (SELECT id, subject AS a, predicate, object AS b FROM e UNION ALL SELECT id, object, predicate, subject FROM e), mt AS (SELECT DISTINCT term FROM m),
+o AS (SELECT term, b.* FROM mt JOIN b ON contains(lower(a), term)),
+p AS (SELECT DISTINCT term, 1 AS hops, a AS origin, [predicate] AS relations, b AS target FROM o UNION SELECT DISTINCT term, 2, o.a, [o.predicate, b.predicate], b.b FROM o JOIN b ON b.a = o.b AND b.id <> o.id),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY hops, origin, relations, target) <= 15),
+g AS (SELECT question_id, 2 AS k, origin || ' via [' || array_to_string(relations, ' -> ') || '] ' || target AS text FROM m JOIN r USING (term)),
+u AS (FROM f UNION ALL FROM v UNION ALL FROM g)
+SELECT question_id, text, CASE min(k) WHEN 0 THEN 'fact' WHEN 1 THEN 'vector' ELSE 'path' END AS kind FROM u GROUP BY question_id, text""",
+)
+def _(t):
+    """A question about a brand and type for each vector: facts, nearest vectors and paths around its main term."""
+    e = t("embeddings")
+    asked = e.join(t("part"), F.col("p_partkey") == F.col("vec_id") + 1).select(F.col("vec_id").alias("question_id"), F.concat("p_brand", F.lit(" of "), "p_type").alias("text"), "embedding")
+    edges = occurrences(t).select("subject", "predicate", "object").distinct().withColumn("id", F.concat_ws(">", "subject", "predicate", "object"))
+    near = V.top_k(asked.select(F.col("question_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 3)
+    hits = near.select(F.col("query_id").alias("question_id"), F.concat(F.lit("memory "), "vec_id").alias("text"))
+    return Q.context(asked.select("question_id", "text"), edges, hits)
