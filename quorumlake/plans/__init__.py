@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import extract_queries, graph_queries, memory_queries, more_queries, quality_queries, record_queries, store_queries, term_queries  # noqa: F401
+from . import extract_queries, graph_queries, memory_queries, more_queries, quality_queries, record_queries, store_queries, table_queries, term_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
