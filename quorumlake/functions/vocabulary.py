@@ -63,7 +63,11 @@ COMPLEMENT_START = _words(
     "used purchased tried questioned was were is are been being so very too quite extremely particularly especially"
 )
 COMPARATIVES = _words("older younger bigger greater higher lower quicker faster better worse more less different")
-UI_MARKERS = ("clique", "execute o", "instale", "configure o", "rode o", "abra o", "acesse o", "baixe o", "copie o", "import ", "print(", "console.log", "npm ", "pip install", "leia mais", "saiba mais", "assine", "newsletter", "compartilhe", "cookie", "tutorial", "passo a passo")
+UI_MARKERS = (
+    "clique", "execute o", "execute este", "instale", "instalar o pacote", "configure o", "rode o", "rode o comando", "abra o", "acesse o", "baixe o",
+    "copie o", "import ", "print(", "console.log", "npm ", "pip install", "pip3 install", "```", "referências", "referencias", "ver também", "ver tambem",
+    "editar", "leia mais", "saiba mais", "assine", "newsletter", "compartilhe", "siga-nos", "categoria:", "cookie", "tutorial", "passo a passo",
+)
 IMPERATIVES = ("clique", "execute", "instale", "configure", "rode", "acesse", "baixe", "copie", "importe", "abra", "crie o", "adicione")
 CODE_CHARS, CODE_SUFFIXES = "\\/@#_=<>{}()[]|", _words("com org net io dev py js json html md")
 SPAN_PUNCTUATION, SPAN_CODE = ".,;:!?()[]{}\"'`-", "{}[]<>|\\/=_@#~^`"

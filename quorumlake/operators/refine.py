@@ -302,5 +302,15 @@ def containing(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return met.filter(F.col("hits") * 2 >= F.col("n")).select("doc_id", "item_id")
 
 
+#: What a text that gives a credential away holds, in any case.
+SECRET_MARKERS = ("password", "passwd", "secret", "token", "authorization", "bearer ", "auth-token", "api-key", "api_key", "bolt://", "private key")
+
+
+def secret_markers(c: Column, markers: tuple[str, ...] = SECRET_MARKERS) -> Column:
+    """The markers that a text holds, in order of the list."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(low, F.lower(m)))
+
+
 def date_like(c: Column) -> Column:
     return F.trim(F.lower(c)).rlike(r"^([0-9]{4}|[0-9]{1,2}[/-][0-9]{1,2}([/-][0-9]{2,4})?|([0-9]{1,2} (de )?)?(janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december)( (de )?[0-9]{4})?)$")

@@ -133,9 +133,9 @@ def _(t):
     return X.payloads(rows).withColumn("entities", F.size("entities").cast("bigint"))
 
 
-@query("g18_episode_payloads", "SELECT event_id, 'u' || user_id AS subject, event_type AS predicate FROM events WHERE event_type <> 'error' AND value > 5")
+@query("g18_episode_payloads", "SELECT event_id, 'u' || user_id AS subject, event_type AS predicate FROM events WHERE event_type <> 'error'")
 def _(t):
-    rows = t("events").filter("value > 5").select("event_id", F.array(F.struct(F.concat(F.lit("u"), "user_id").alias("subject"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("predicate"))).alias("entities"))
+    rows = t("events").select("event_id", F.array(F.struct(F.concat(F.lit("u"), "user_id").alias("subject"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("predicate"))).alias("entities"))
     return rows.select("event_id", F.inline("entities")).filter("predicate is not null")
 
 
@@ -170,10 +170,9 @@ def _(t):
     return R.answer(asked.join(rows, "question", "left")).drop("sources")
 
 
-@query("c35_knowledge_gap", "SELECT c_custkey, count(o_orderkey) AS facts, CASE WHEN count(o_orderkey) = 0 THEN 'search' WHEN count(o_orderkey) < 3 THEN 'expand' ELSE 'reflect' END AS decision FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY 1")
+@query("c35_knowledge_gap", "SELECT c_custkey, count(o_orderkey) AS facts, CASE WHEN count(o_orderkey) = 0 THEN 'search' WHEN count(o_orderkey) < 3 THEN 'expand' ELSE 'reflect' END AS decision FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def _(t):
-    o = t("orders").filter("o_totalprice > 300000")
-    n = t("customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("facts"))
+    n = t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("facts"))
     return R.knowledge_gap(n)
 
 

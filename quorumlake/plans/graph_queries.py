@@ -152,12 +152,12 @@ def _(t):
     return G.topology(G.edges_verified(occ, G.facts(occ)))[1]
 
 
-_TRADE = "e AS (SELECT DISTINCT cn.n_name AS subject, sn.n_name AS object FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE l_quantity >= 49 AND o_totalprice > 400000)"
+_TRADE = "e AS (SELECT DISTINCT cn.n_name AS subject, sn.n_name AS object FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey)"
 
 
 def trade(t):
-    """Nations of customers and of suppliers that large orders join."""
-    o = t("orders").filter("o_totalprice > 400000").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem").filter("l_quantity >= 49"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Nations of customers and of suppliers that orders join."""
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     n = t("nation")
     o = o.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("subject")), "c_nationkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("object")), "s_nationkey")
     return o.select("subject", "object").distinct()
@@ -240,9 +240,9 @@ def _(t):
     return A.triangulate(occurrences(t), 20, 0.95005)
 
 
-@query("a20_reingest_baseline", OCC + ", p AS (SELECT fact_key, count(DISTINCT url) AS u, count(DISTINCT domain) AS d FROM occ WHERE confidence < 0.905 GROUP BY 1) SELECT count(*) FILTER (u >= 2) AS urls_2, count(*) FILTER (d >= 2) AS domains_2, count(*) FILTER (d >= 3) AS domains_3, max(d) AS most_domains, count(*) FILTER (u >= 3 AND d >= 2) AS strict FROM p")
+@query("a20_reingest_baseline", OCC + ", p AS (SELECT fact_key, count(DISTINCT url) AS u, count(DISTINCT domain) AS d FROM occ GROUP BY 1) SELECT count(*) FILTER (u >= 2) AS urls_2, count(*) FILTER (d >= 2) AS domains_2, count(*) FILTER (d >= 3) AS domains_3, max(d) AS most_domains, count(*) FILTER (u >= 3 AND d >= 2) AS strict FROM p")
 def _(t):
-    return A.reingest_baseline(occurrences(t).filter("confidence < 0.905"))
+    return A.reingest_baseline(occurrences(t))
 
 
 @query("a24_verified_ratios", FACTS + " SELECT object, count(*) AS facts, count(*) FILTER (domains >= 20) AS verified, round(count(*) FILTER (domains >= 20) / count(*), 4) AS ratio FROM facts GROUP BY object")
@@ -255,14 +255,14 @@ def _(t):
     return A.same_domain_urls(occurrences(t))
 
 
-@query("a46_collision_atlas", OCC + " SELECT object, predicate, count(DISTINCT domain) AS domains, count(*) AS hits, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domain_list, CASE WHEN count(DISTINCT domain) >= 24 THEN 'full' WHEN count(DISTINCT domain) > 1 THEN 'partial' ELSE 'none' END AS collision FROM occ WHERE confidence < 0.905 GROUP BY 1, 2")
+@query("a46_collision_atlas", OCC + " SELECT object, predicate, count(DISTINCT domain) AS domains, count(*) AS hits, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domain_list, CASE WHEN count(DISTINCT domain) >= 24 THEN 'full' WHEN count(DISTINCT domain) > 1 THEN 'partial' ELSE 'none' END AS collision FROM occ GROUP BY 1, 2")
 def _(t):
-    return A.collisions(occurrences(t).filter("confidence < 0.905"), 24)
+    return A.collisions(occurrences(t), 24)
 
 
-@query("a47_family_eligible", OCC + f", {FAMILIES} SELECT fact_key, count(DISTINCT domain) AS domains, count(DISTINCT family) AS families, count(DISTINCT domain) >= 3 AND count(DISTINCT family) >= 2 AS eligible FROM occ LEFT JOIN fam USING (domain) WHERE confidence < 0.903 GROUP BY 1")
+@query("a47_family_eligible", OCC + f", {FAMILIES} SELECT fact_key, count(DISTINCT domain) AS domains, count(DISTINCT family) AS families, count(DISTINCT domain) >= 3 AND count(DISTINCT family) >= 2 AS eligible FROM occ LEFT JOIN fam USING (domain) GROUP BY 1")
 def _(t):
-    return A.family_eligible(occurrences(t).filter("confidence < 0.903"), families(t))
+    return A.family_eligible(occurrences(t), families(t))
 
 
 @query("a29_required_domains", OCC + """, obs AS (SELECT fact_key, list(DISTINCT domain) AS ds FROM occ WHERE confidence < 0.91 GROUP BY 1), ex AS (SELECT DISTINCT fact_key, ['NATION_1', 'NATION_2'] AS req FROM occ)

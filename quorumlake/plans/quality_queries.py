@@ -74,11 +74,9 @@ def _(t):
     return t("documents").select("doc_id", F.md5(T.mask_secrets(F.col("text"))).alias("masked"))
 
 
-@query("f28_secret_markers", "SELECT doc_id, contains(lower(text), 'licen') AS license, contains(lower(text), 'rights') AS rights FROM documents WHERE contains(lower(text), 'licen') OR contains(lower(text), 'rights')")
+@query("f28_secret_markers", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"'{m}'" for m in R.SECRET_MARKERS) + "], lambda m: contains(lower(text), m)), ',') AS markers FROM documents")
 def _(t):
-    low = F.lower("text")
-    rows = t("documents").select("doc_id", F.contains(low, F.lit("licen")).alias("license"), F.contains(low, F.lit("rights")).alias("rights"))
-    return rows.filter(F.col("license") | F.col("rights"))
+    return t("documents").select("doc_id", F.array_join(R.secret_markers(F.col("text")), ",").alias("markers"))
 
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)"
@@ -198,10 +196,24 @@ def _(t):
     return t("pages").select("page_id", (F.octet_length("html") <= 4000).alias("small"))
 
 
-@query("f25_date_like", "SELECT o_orderkey, true AS iso, true AS year, false AS word FROM orders")
+_MONTHS = "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split()
+
+
+@query(
+    "f25_date_like",
+    f"""WITH o AS (SELECT o_orderdate AS d, [{", ".join(f"'{m}'" for m in _MONTHS)}][month(o_orderdate)] AS m, o_orderpriority AS p FROM orders),
+x AS (SELECT unnest([strftime(d, '%Y'), strftime(d, '%d/%m/%Y'), strftime(d, '%d-%m'), strftime(d, '%Y-%m-%d'), m, day(d) || ' de ' || m || ' de ' || year(d), m || ' ' || year(d), year(d) || ' ' || m, p]) AS t FROM o
+  UNION ALL SELECT unnest(string_split_regex(text, '[^\\p{{L}}\\p{{N}}/-]+')) FROM documents)
+SELECT t AS text, count(*) AS n, regexp_full_match(t, '[0-9]{{4}}') OR regexp_full_match(t, '[0-9][0-9]?[/-][0-9][0-9]?([/-][0-9]{{2,4}})?') OR regexp_matches(lower(t), '^([0-9][0-9]? (de )?)?({"|".join(_MONTHS)}|january|february|march|april|may|june|july|august|september|october|november|december)( (de )?[0-9]{{4}})?$') AS dated FROM x WHERE t <> '' GROUP BY t""",
+)
 def _(t):
-    d = F.col("o_orderdate")
-    return t("orders").select("o_orderkey", R.date_like(F.date_format(d, "d/M/yyyy")).alias("iso"), R.date_like(F.date_format(d, "yyyy")).alias("year"), R.date_like(F.col("o_orderpriority")).alias("word"))
+    """Dates of orders in many shapes, some of which are none, and all words of documents."""
+    d, y = F.col("o_orderdate"), F.date_format("o_orderdate", "yyyy")
+    m = F.element_at(F.array(*[F.lit(x) for x in _MONTHS]), F.month(d))
+    told = [y, *[F.date_format(d, x) for x in ("dd/MM/yyyy", "dd-MM", "yyyy-MM-dd")], m, F.concat(F.day(d), F.lit(" de "), m, F.lit(" de "), y), F.concat(m, F.lit(" "), y), F.concat(y, F.lit(" "), m), F.col("o_orderpriority")]
+    words = t("documents").select(F.explode(F.split("text", r"[^\p{L}\p{N}/-]+")).alias("text"))
+    seen = t("orders").select(F.explode(F.array(*told)).alias("text")).unionByName(words).filter("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
+    return seen.withColumn("dated", R.date_like(F.col("text")))
 
 
 @query("f23_url_routes", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN contains(url, '/fr/') THEN 'a' WHEN ends_with({_HOST}, '.example.org') THEN 'b' ELSE 'c' END AS route FROM pages) GROUP BY 1")

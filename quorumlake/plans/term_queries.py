@@ -167,10 +167,10 @@ def _(t):
     return t.spark.read.json(f"{path}/data").agg(F.count("*").alias("records"), F.max(F.length("instruction")).alias("longest"))
 
 
-@query("s02_fetched_pages", "SELECT page_id FROM pages WHERE length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) >= 900")
+@query("s02_fetched_pages", "SELECT page_id FROM pages WHERE strlen(url) % 5 <> 0 AND length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) >= 900")
 def _(t):
     path = _folder(t, "pages")
-    t("pages").select(F.concat("url", F.lit("#"), "page_id").alias("url"), "html").write.parquet(path)
+    t("pages").select(F.concat("url", F.lit("#"), "page_id").alias("url"), "html", F.when(F.octet_length("url") % 5 == 0, 404).when(F.octet_length("url") % 5 == 1, 200).alias("status")).write.parquet(path)
     return IO.pages(t.spark, path, 900).select(F.substring_index("url", "#", -1).cast("bigint").alias("page_id"))
 
 

@@ -55,10 +55,10 @@ def feed(xml: DataFrame, most: int = 20) -> DataFrame:
 
 
 def pages(spark: SparkSession, path: str, least: int = 200) -> DataFrame:
-    """Fetched pages (url, html, status) as payloads: ok ones of enough text."""
+    """Fetched pages (url, html, status) as payloads: those of status 200 and enough text. A null status, as of pages that were never fetched over HTTP, counts as 200."""
     from ..functions import text as T
 
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).filter(F.coalesce("status", F.lit(200)) == 200)
     out = rows.select("url", T.domain_of(F.col("url")).alias("domain"), T.html_title(F.col("html")).alias("title"), T.strip_html(F.col("html")).alias("content"))
     return out.filter(F.length("content") >= least)
 
