@@ -27,20 +27,24 @@ def _(t):
 
 
 _FORMS = predicate_forms()
-_FORM_ROWS = ", ".join(f"('{f}', '{p}')" for f, p in _FORMS.items())
+FORM_ROWS = ", ".join(f"('{f}', '{p}')" for f, p in _FORMS.items())
 _LONGEST_FIRST = "|".join(f.replace(" ", "  ") for f in sorted(_FORMS, key=len, reverse=True))
 
 
-@query(
-    "g02_verb_triples",
-    rf"""WITH d AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations),
-c AS (SELECT id, unnest(string_split_regex(text, '[.;,:!?()\[\]\n\r]+')) AS c FROM d), w AS (SELECT id, regexp_extract_all(c, '[\p{{L}}\p{{N}}]+') AS w FROM c),
+#: From clauses c (id, c) to triples t (id, subject, verb, object), by the same forms in order of length.
+VERB_TRIPLES_SQL = rf"""w AS (SELECT id, regexp_extract_all(c, '[\p{{L}}\p{{N}}]+') AS w FROM c),
 f AS (SELECT id, w, array_to_string(list_transform(w, lambda x: ' ' || regexp_replace(strip_accents(lower(x)), '[^a-z0-9]', '_', 'g') || ' '), '') AS f FROM w WHERE len(w) > 2),
 m AS (SELECT id, w, string_split_regex(regexp_replace(f, ' ({_LONGEST_FIRST}) ', chr(1) || '\1' || chr(2), 'g'), '[\x01\x02]') AS m FROM f),
 n AS (SELECT *, list_transform(m, lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> ''))) AS n FROM m WHERE len(m) > 2),
 j AS (SELECT *, unnest(range(1, (len(m) - 1) // 2 + 1)) AS j FROM n), a AS (SELECT *, list_sum(n[1:2 * j - 1])::BIGINT AS b FROM j),
-t AS (SELECT id, array_to_string(w[b - least(n[2 * j - 1], 6) + 1:b], ' ') AS subject, replace(m[2 * j], '  ', ' ') AS verb, array_to_string(w[b + n[2 * j] + 1:b + n[2 * j] + least(n[2 * j + 1], 6)], ' ') AS object FROM a)
-SELECT id, subject, predicate, object, count(*) AS n FROM t JOIN (VALUES {_FORM_ROWS}) v(form, predicate) ON form = verb WHERE subject <> '' AND object <> '' GROUP BY ALL""",
+t AS (SELECT id, array_to_string(w[b - least(n[2 * j - 1], 6) + 1:b], ' ') AS subject, replace(m[2 * j], '  ', ' ') AS verb, array_to_string(w[b + n[2 * j] + 1:b + n[2 * j] + least(n[2 * j + 1], 6)], ' ') AS object FROM a)"""
+
+
+@query(
+    "g02_verb_triples",
+    rf"""WITH d AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations),
+c AS (SELECT id, unnest(string_split_regex(text, '[.;,:!?()\[\]\n\r]+')) AS c FROM d), {VERB_TRIPLES_SQL}
+SELECT id, subject, predicate, object, count(*) AS n FROM t JOIN (VALUES {FORM_ROWS}) v(form, predicate) ON form = verb WHERE subject <> '' AND object <> '' GROUP BY ALL""",
 )
 def _(t):
     """Triples by the controlled verb forms, of all documents and turns of conversations."""
