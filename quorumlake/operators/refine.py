@@ -169,11 +169,8 @@ def valid_term(c: Column) -> Column:
     return (F.length(c) >= 3) & (F.size(F.split(c, " ")) <= 6) & c.rlike(r"\p{L}") & ~_has_marker(F.lower(c))
 
 
-def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | None = None) -> DataFrame:
-    """triples (subject, predicate, object, confidence) with canonical c_subject, c_predicate, c_object, clamped confidence and `reason`, ok or why not.
-
-    pair_aliases: (subject, object, old, new): for these pairs of canonical names a predicate is renamed.
-    """
+def _judged(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | None) -> DataFrame:
+    """Distinct triples (subject, predicate, object) with c_subject, c_predicate, c_object and reason."""
     out = link_entities(link_entities(triples, "subject", aliases, "c_subject"), "object", aliases, "c_object")
     # verbs are few: each is judged once
     verbs = triples.select(F.col("predicate").alias("__verb")).distinct().select("__verb", map_predicate(F.col("__verb")).alias("c_predicate"), predicate_reason(F.col("__verb")).alias("__why"))
@@ -193,8 +190,21 @@ def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | Non
     if pair_aliases is not None:
         pairs = pair_aliases.select(F.col("subject").alias("c_subject"), F.col("object").alias("c_object"), F.col("old").alias("c_predicate"), F.col("new").alias("__new"))
         out = out.join(pairs, ["c_subject", "c_object", "c_predicate"], "left").withColumn("c_predicate", F.coalesce("__new", "c_predicate")).drop("__new")
+    return out.select("subject", "predicate", "object", "c_subject", "c_predicate", "c_object", "reason")
+
+
+def refine(triples: DataFrame, aliases: DataFrame, pair_aliases: DataFrame | None = None) -> DataFrame:
+    """triples (subject, predicate, object, confidence) with canonical c_subject, c_predicate, c_object, clamped confidence and `reason`, ok or why not.
+
+    Each distinct triple is judged once and joined once to its rows. pair_aliases: (subject, object, old, new): for these pairs of canonical names a predicate is renamed.
+    """
+    key = ["subject", "predicate", "object"]
+    judged = _judged(triples.select(*key).distinct(), aliases, pair_aliases).select(*[F.col(c).alias(f"__{c}") for c in key], "c_subject", "c_predicate", "c_object", "reason")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence"), F.lit(0.5)))), 3)
-    return out.withColumn("confidence", confidence).drop("c_subject_known", "c_object_known", "__why", "__s", "__o", "s1", "s2", "o1", "o2", "o3", "__s_why", "__o_why")
+    return triples.join(judged, same).withColumn("confidence", confidence).drop(*[f"__{c}" for c in key])
 
 
 def rejections(refined: DataFrame) -> DataFrame:
