@@ -37,19 +37,22 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def ratio_from(least: float):
-    """sequence_ratio where it may be `least` or more, else 0: lengths and characters in common bound it from above at little cost."""
+def likeness_from(least: float):
+    """The larger of Jaccard and sequence ratio of two normed texts where it may be `least` or more, else 0 or more: lengths and characters in common bound the
+    ratio from above at little cost. It is declared to be non-deterministic, which it is not, so that a filter on it stays above the distinct below it
+    and each pair is worked out once."""
 
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
+        out, low = [], least - 1e-4
         for x, y in zip(a, b, strict=True):
+            s, t = set(x.split(" ")), set(y.split(" "))
+            words = len(s & t) / len(s | t)
             m = SequenceMatcher(None, x, y)
-            low = least - 1e-4
-            out.append(m.ratio() if m.real_quick_ratio() >= low and m.quick_ratio() >= low else 0.0)
+            out.append(max(words, m.ratio()) if m.real_quick_ratio() >= low and m.quick_ratio() >= low else words)
         return pd.Series(out, dtype="float64")
 
-    return run
+    return run.asNondeterministic()
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -29,11 +29,9 @@ def similar_pairs(names: DataFrame, least: float = MEDIUM) -> DataFrame:
     keyed = keyed.select("name", "n", F.explode(F.array_distinct(F.concat(words, grams, single))).alias("key"))
     left, right = keyed.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "key"), keyed.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "key")
     found = left.join(right, "key").filter("a < b").select("a", "b", "n_a", "n_b").distinct()
-    jaccard = F.round(S.jaccard(S.tokens(F.col("a")), S.tokens(F.col("b"))), 4)
-    found = found.withColumn("words_sim", jaccard).filter((F.col("words_sim") >= least) | (2 * F.least("n_a", "n_b") >= (least - 1e-4) * (F.col("n_a") + F.col("n_b"))))
     # few rows, much work in each: dealt over all cores
-    found = found.repartition(4 * names.sparkSession.sparkContext.defaultParallelism, "a", "b")
-    found = found.withColumn("sim", F.greatest("words_sim", F.round(S.ratio_from(least)(F.col("a"), F.col("b")), 4))).filter(F.col("sim") >= least)
+    found = found.repartition(names.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    found = found.withColumn("sim", F.round(S.likeness_from(least)(F.col("a"), F.col("b")), 4)).filter(F.col("sim") >= least)
     both = F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     return found.select(F.inline(both))
 
@@ -114,11 +112,8 @@ def _apart():
     return (F.size("l_domains") > 0) & (F.size("r_domains") > 0) & ~F.arrays_overlap("l_domains", "r_domains")
 
 
-def link_candidates(found: DataFrame, high: float = HIGH, medium: float = MEDIUM) -> DataFrame:
-    """near_groups() of disjoint domains in three tiers; another predicate never makes a high one; abbreviations count as equal words.
-
-    Pairs with one name equal and the other unlike are candidates too: link_report() counts them, without a row for each.
-    """
+def link_kind(high: float = HIGH, medium: float = MEDIUM):
+    """tier:variant of a pair of near_groups() of disjoint domains; another predicate never makes a high one; abbreviations count as equal words."""
     s, o = F.col("subject_sim"), F.col("object_sim")
     same, s_eq, o_eq = F.col("l_predicate") == F.col("r_predicate"), F.col("l_s") == F.col("r_s"), F.col("l_o") == F.col("r_o")
     weaker = F.when(s <= o, "subject_variant").otherwise("object_variant")
@@ -132,31 +127,39 @@ def link_candidates(found: DataFrame, high: float = HIGH, medium: float = MEDIUM
         .when((s >= medium) & (o >= medium), F.concat(F.lit("medium:"), weaker))
     )
     other = F.when((s >= high) & (o >= high), "medium:predicate_variant").when(s_eq | o_eq | ((s >= medium) & (o >= medium)), "low:predicate_variant")
-    return _told(found.filter(_apart()).withColumn("kind", F.when(same, equal).otherwise(other)))
+    return F.when(same, equal).otherwise(other)
+
+
+def link_candidates(found: DataFrame, high: float = HIGH, medium: float = MEDIUM) -> DataFrame:
+    """near_groups() of disjoint domains in three tiers.
+
+    Pairs with one name equal and the other unlike are candidates too: link_report() counts them, without a row for each.
+    """
+    return _told(found.filter(_apart()).withColumn("kind", link_kind(high, medium)))
 
 
-def _apart_of_one(grouped: DataFrame, name: str, same: bool) -> DataFrame:
-    """(n): ordered pairs of facts with one name in common, of disjoint domains, of one predicate or of two: sums over sets of domains, not over facts."""
+def _apart_of_one(grouped: DataFrame, name: str) -> DataFrame:
+    """(same, n): ordered pairs of facts with one name in common, of disjoint domains, of one predicate or of two: sums over sets of domains, not over facts."""
     sides = grouped.filter(F.col(name) != "").groupBy(name, "predicate", "domains").agg(F.sum("n").alias("n"))
     l, r = (sides.select(F.col(name).alias("k"), *[F.col(c).alias(f"{x}_{c}") for c in ("predicate", "domains", "n")]) for x in "lr")
-    met = l.join(r, "k").filter("l_predicate = r_predicate" if same else "l_predicate <> r_predicate")
-    return met.filter(_apart()).agg(F.coalesce(F.sum(F.col("l_n") * F.col("r_n")), F.lit(0)).alias("n"))
+    met = l.join(r, "k").filter(_apart())
+    return met.groupBy((F.col("l_predicate") == F.col("r_predicate")).alias("same")).agg(F.sum(F.col("l_n") * F.col("r_n")).alias("n"))
 
 
 def link_report(grouped: DataFrame) -> DataFrame:
     """(tier, variant, n) of link candidates between facts: similar names are met pair by pair, those with one name equal and the other unlike are what is
     left of all pairs with that name."""
-    found = near_groups(grouped)
-    met = found.filter(_apart())
-    listed = link_candidates(found).groupBy("tier", "variant").agg(F.sum(F.col("l_n") * F.col("r_n")).alias("n"))
-    rest = None
+    checkpoints(grouped.sparkSession)
+    grouped = grouped.checkpoint()
+    pair = [((F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "")).alias(f"{c}_eq") for c in "so"]
+    found = near_groups(grouped).filter(_apart()).withColumn("kind", link_kind())
+    # one row for each kind of pair: all that follows is sums of these
+    met = found.groupBy("kind", *pair, (F.col("l_predicate") == F.col("r_predicate")).alias("same")).agg(F.sum(F.col("l_n") * F.col("r_n")).alias("n")).checkpoint()
+    out = met.filter("kind is not null").select("kind", "n")
     for name, variant in (("s", "object_variant"), ("o", "subject_variant")):
-        seen = met.filter(f"l_{name} = r_{name} and l_{name} <> ''")
-        for same, kind in ((True, f"medium:{variant}"), (False, "low:predicate_variant")):
-            pairs = seen.filter("l_predicate = r_predicate" if same else "l_predicate <> r_predicate").agg(F.coalesce(F.sum(F.col("l_n") * F.col("r_n")), F.lit(0)).alias("seen"))
-            one = _apart_of_one(grouped, name, same).join(pairs).select(F.lit(kind.split(":")[0]).alias("tier"), F.lit(kind.split(":")[1]).alias("variant"), (F.col("n") - F.col("seen")).alias("n"))
-            rest = one if rest is None else rest.unionByName(one)
-    return listed.unionByName(rest).groupBy("tier", "variant").agg((F.sum("n") / 2).cast("bigint").alias("n")).filter("n > 0")
+        kind = F.when(F.col("same"), f"medium:{variant}").otherwise("low:predicate_variant").alias("kind")
+        out = out.unionByName(_apart_of_one(grouped, name).select(kind, "n")).unionByName(met.filter(f"{name}_eq").select(kind, (-F.col("n")).alias("n")))
+    return _told(out.groupBy("kind").agg((F.sum("n") / 2).cast("bigint").alias("n")).filter("n > 0")).select("tier", "variant", "n")
 
 
 def match_report(matches: DataFrame) -> DataFrame:
