@@ -8,14 +8,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
 #: Spans that HTML allows.
 MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
+#: Cells that a task hands on at once, about; the pages of a batch are put together up to these.
+CELLS = 50_000
+_CELLS = pa.schema([("id", pa.int64()), ("table", pa.int32()), ("kind", pa.string()), ("caption", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string()), ("header", pa.bool_()), ("own", pa.bool_())])
 # fixed values
 YEAR_HEADERS = ("ano", "anos", "year", "years", "season", "seasons", "temporada", "temporadas", "edicao", "edicoes", "conquistas")
 CLUB_HEADERS = ("clube", "club", "equipe", "team", "time", "campeao", "champion", "winner", "vencedor")
@@ -120,19 +124,27 @@ def placed(rows: list[list[tuple]]) -> list[tuple[int, int, str, bool, bool]]:
 def grids(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, table, kind, caption, row, col, text, header, own): the grid cells of all tables and pre blocks, which are numbered in order. Null pages have none."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for i, html in zip(pdf["id"], pdf["html"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = []
+            for i, html in zip(b.column("id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 p = _Parser()
                 p.feed(html or "")
                 p.close()
-                cells = [(i, n, kind, caption, *cell) for n, (kind, caption, rows) in enumerate(p.found) for cell in placed(rows)]
-                if cells:
-                    yield pd.DataFrame(cells, columns=["id", "table", "kind", "caption", "row", "col", "text", "header", "own"])
+                cells += [(i, n, kind, caption, *cell) for n, (kind, caption, rows) in enumerate(p.found) for cell in placed(rows)]
+                if len(cells) >= CELLS:
+                    yield _batch(cells)
+                    cells = []
+            if cells:
+                yield _batch(cells)
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("html"))
     schema = "id bigint, table int, kind string, caption string, row int, col int, text string, header boolean, own boolean"
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _batch(cells: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), _CELLS, strict=True)], schema=_CELLS)
 
 
 def header_rows(cells: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -141,17 +153,26 @@ def header_rows(cells: DataFrame, id_col: str = "page_id") -> DataFrame:
     return rows.groupBy(id_col, "table").agg(F.coalesce(F.min(F.when(~F.col("all"), F.col("row"))), F.max("row") + 1).alias("head"))
 
 
+def _headed(cells: DataFrame, id_col: str) -> DataFrame:
+    """cells with head and name, as header_rows and columns give them. The cells of a table are dealt to one task, once, so that pages are parsed once."""
+    dealt = cells.filter(F.col(id_col).isNotNull()).repartition(id_col, "table")
+    table = Window.partitionBy(id_col, "table")
+    out = dealt.withColumn("all", F.bool_and("header").over(Window.partitionBy(id_col, "table", "row")))
+    out = out.withColumn("head", F.coalesce(F.min(F.when(~F.col("all"), F.col("row"))).over(table), F.max("row").over(table) + 1)).drop("all")
+    said = F.collect_list(F.when(F.col("row") < F.col("head"), F.struct("row", "text"))).over(Window.partitionBy(id_col, "table", "col"))
+    out = out.withColumn("name", F.transform(F.array_sort(said), lambda x: x["text"]))
+    out = out.withColumn("name", F.array_join(F.array_distinct(F.filter("name", lambda x: x != "")), " "))
+    return out.withColumn("name", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("col"), F.col("col") + 1)))
+
+
 def columns(cells: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, table, col, name): what the header rows say of a column, one after the other, each text once; columns without header are named col1, col2 ..."""
-    head = cells.join(header_rows(cells, id_col), [id_col, "table"])
-    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("row") < F.col("head"), F.struct("row", "text")))), lambda x: x["text"])
-    named = head.groupBy(id_col, "table", "col").agg(F.array_join(F.array_distinct(F.filter(said, lambda x: x != "")), " ").alias("name"))
-    return named.withColumn("name", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("col"), F.col("col") + 1)))
+    return _headed(cells, id_col).select(id_col, "table", "col", "name").distinct()
 
 
 def records(cells: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, table, caption, row, fields): the rows below the headers as (name, text) in order of columns; rows without any text are left out."""
-    body = cells.join(header_rows(cells, id_col), [id_col, "table"]).filter("row >= head").join(columns(cells, id_col), [id_col, "table", "col"])
+    body = _headed(cells, id_col).filter("row >= head")
     fields = F.array_sort(F.collect_list(F.struct("col", "name", "text")))
     out = body.groupBy(id_col, "table", "caption", "row").agg(fields.alias("f")).filter(F.exists("f", lambda x: x["text"] != ""))
     return out.select(id_col, "table", "caption", "row", F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))).alias("fields"))
