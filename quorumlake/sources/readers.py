@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPISODE = "timestamp double, kind string, content struct<source_url:string,extracted_entities:array<struct<subject:string,predicate:string,object:string,confidence:double>>>"
 
 
-def episode_log(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
-    """Lines of JSON, malformed ones left out; the last ones by time if so asked."""
+def episode_log(spark: SparkSession, path: str, last: int | None = None, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """Lines of JSON, malformed ones left out; the last ones by time if so asked, of equal times the first by `ties`."""
     rows = spark.read.schema(EPISODE).option("mode", "DROPMALFORMED").json(path)
-    return rows if last is None else rows.orderBy(F.desc("timestamp")).limit(last)
+    return rows if last is None else rows.orderBy(F.desc("timestamp"), *ties).limit(last)
 
 
 def quarantine_log(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,11 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
 from quorumlake.operators import tables as B
+from quorumlake.plans.registry import QUERIES
+from quorumlake.sources import readers as IO
 
 
 def plan(df) -> str:
@@ -18,3 +22,14 @@ def test_records_parse_pages_once(spark):
     rows = B.records(cells)
     assert plan(rows).count("MapInArrow") == 1
     assert {(r.page_id, r.row, *[tuple(f) for f in r.fields]) for r in rows.collect()} == {(i, 1, ("Clube", f"c{i}"), ("Anos", f"190{i % 10}")) for i in range(200)}
+
+
+def test_last_lines_of_a_log_by_ties(spark, tmp_path):
+    lines = spark.range(9).select(F.lit(5.0).alias("timestamp"), F.concat(F.lit("k"), "id").alias("kind"), F.struct(F.concat(F.lit("e"), 10 - F.col("id")).alias("source_url")).alias("content"))
+    lines.repartition(3).write.json(str(tmp_path / "log"))
+    event = F.substring("content.source_url", 2, 20).cast("bigint")
+    assert [r.kind for r in IO.episode_log(spark, str(tmp_path / "log"), 3, (event,)).collect()] == ["k8", "k7", "k6"]
+
+
+def test_episode_log_query_reads_the_last_million_lines(spark):
+    assert "limit=1000000," in plan(QUERIES["s13_episode_log"](spark, "/root/testdata/sf0.001"))
