@@ -129,7 +129,10 @@ def extraction_policy(url: Column) -> Column:
 def first_targets(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     """facts (id, group, haystack) that hold an alias (group, pos, alias, target) of their group: the target of the first such alias.
 
-    Joined on the group, so that only the aliases of a group are looked for in its facts.
+    Joined on the group, so that only the aliases of a group are looked for in its facts, each alias once at its first place. What is found is
+    reduced to the least place, a number, while it is read: nothing of the size of all that is found is sorted.
     """
-    found = facts.join(aliases, "group").filter(F.contains("haystack", F.col("alias")))
-    return found.groupBy("id", "group").agg(F.min_by("target", "pos").alias("target"))
+    first = aliases.groupBy("group", "alias").agg(F.min("pos").alias("pos"))
+    found = facts.join(first, "group").filter(F.contains("haystack", F.col("alias"))).groupBy("id", "group").agg(F.min("pos").alias("pos"))
+    targets = aliases.groupBy("group", "pos").agg(F.min("target").alias("target"))
+    return found.join(targets, ["group", "pos"], "left").select("id", "group", "target")

@@ -6,6 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from quorumlake.operators import tables as B
+from quorumlake.operators import terms as X
 from quorumlake.plans.registry import QUERIES
 from quorumlake.sources import readers as IO
 
@@ -33,3 +34,12 @@ def test_last_lines_of_a_log_by_ties(spark, tmp_path):
 
 def test_episode_log_query_reads_the_last_million_lines(spark):
     assert "limit=1000000," in plan(QUERIES["s13_episode_log"](spark, "/root/testdata/sf0.001"))
+
+
+def test_first_targets_sort_nothing_that_is_found(spark):
+    facts = spark.createDataFrame([(1, "g", "a red ring"), (2, "g", "blue"), (3, "h", "red"), (4, "g", "none"), (5, None, "red")], "id bigint, group string, haystack string")
+    rows = [("g", 2, "red", "late"), ("g", 1, "ring", "early"), ("g", 3, "blue", "b"), ("g", 2, "blue", "late"), ("h", 7, "red", "h7"), ("h", 9, "red", "h9"), (None, 1, "red", "x")]
+    aliases = spark.createDataFrame(rows, "group string, pos int, alias string, target string")
+    got = X.first_targets(facts, aliases)
+    assert sorted(map(tuple, got.collect())) == [(1, "g", "early"), (2, "g", "late"), (3, "h", "h7")]
+    assert "min_by" not in plan(got)
