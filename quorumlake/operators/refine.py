@@ -300,14 +300,18 @@ def contains_fact(c: Column, fact: Column) -> Column:
 
 
 def containing(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(doc_id, item_id): contains_fact of every text and every fact (item_id, text): the words of all facts are looked for once a text; ids that repeat count once."""
+    """(doc_id, item_id): contains_fact of every text and every fact (item_id, text); ids that repeat count once.
+
+    A word of a fact is looked for within the words of texts, each different one once: it has no other characters, so it can't reach over their ends.
+    """
     words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) >= 4)
     told = facts.select("item_id", words.alias("words")).filter("size(words) > 0").distinct()
     spread = told.select("item_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    texts = docs.select("doc_id", F.lower("text").alias("low"))
     # a word that a fact holds twice counts twice
     spread = spread.groupBy("item_id", "n", "word").agg(F.count("*").alias("times"))
-    hit = contained(texts, ["doc_id"], "low", spread.select("word").distinct(), "word").select("doc_id", "word").distinct()
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("token"))
+    pairs = contained(tokens.select("token").distinct(), ["token"], "token", spread.select("word").distinct(), "word", small=0)
+    hit = tokens.join(pairs, "token").select("doc_id", "word").distinct()
     met = hit.join(spread, "word").groupBy("doc_id", "item_id", "n").agg(F.sum("times").alias("hits"))
     return met.filter(F.col("hits") * 2 >= F.col("n")).select("doc_id", "item_id")
 

@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from quorumlake.operators import refine as R
 from quorumlake.operators import tables as B
 from quorumlake.operators import terms as X
 from quorumlake.plans.registry import QUERIES
@@ -43,3 +44,12 @@ def test_first_targets_sort_nothing_that_is_found(spark):
     got = X.first_targets(facts, aliases)
     assert sorted(map(tuple, got.collect())) == [(1, "g", "early"), (2, "g", "late"), (3, "h", "h7")]
     assert "min_by" not in plan(got)
+
+
+def test_containing_looks_for_words_in_different_words_once(spark):
+    docs = [(1, "Xalphabet beta-gamma"), (2, "alp habet, BETA"), (2, "gammas"), (3, None), (4, "ñalphañ zzbetazz"), (None, "alpha")]
+    facts = [(7, "alpha beta gamma"), (8, "alpha alpha beta beta gamma"), (9, "a b"), (9, None)]
+    d, f = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(facts, "item_id bigint, text string")
+    got = R.containing(d, f)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7), (1, 8), (2, 7), (2, 8), (4, 7), (4, 8)], key=str)
+    assert "NestedLoop" not in plan(got)
