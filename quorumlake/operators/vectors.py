@@ -42,13 +42,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, block: int = 1024, most: int = 32) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k nearest by cosine, ties to the smaller id: exact, a stated query set against all rows, in blocks.
 
     queries: query_id, q (array); corpus: vec_id, v. Both are dealt into blocks of about `block` rows, each block of queries meets each of rows
-    in a task of its own, and that gives the k best: nothing is collected, and what is shuffled again is k rows a query and block.
+    in a task of its own, and that gives the k best: nothing is collected, and what is shuffled again is k rows a query and block. There are `most` blocks
+    a side at most, which then grow, so a row is copied so often and no more; a task multiplies its block of queries by tiles.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / block).cast("int")).alias("n")
+    parts = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.count("*") / block).cast("int"))).alias("n")
     here, there = queries.agg(parts), corpus.agg(parts)
     own = here.select(F.col("n").alias("n_q")).crossJoin(there.select(F.col("n").alias("n_v")))  # one row
 
@@ -60,13 +61,18 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, block: int = 1024)
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(asks) and len(rows):
             q, x = np.array(asks.q.tolist(), float), np.array(rows.v.tolist(), float)
-            s = q @ x.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1), 1e-300)
-            ids = rows.vec_id.to_numpy()
-            for i, qid in enumerate(asks.query_id):
-                at = np.lexsort((ids, -s[i]))[:k]
-                out["query_id"] += [qid] * len(at)
-                out["vec_id"] += ids[at].tolist()
-                out["score"] += s[i][at].tolist()
+            qn, xn, ids = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1), rows.vec_id.to_numpy()
+            for lo in range(0, len(q), 256):
+                s = q[lo : lo + 256] @ x.T / np.maximum(qn[lo : lo + 256, None] * xn, 1e-300)
+                known = np.where(np.isnan(s), -np.inf, s)
+                # all that are as near as the k-th, so that ties go by id
+                last = np.partition(known, max(len(x) - k, 0), axis=1)[:, max(len(x) - k, 0)]
+                for i, qid in enumerate(asks.query_id[lo : lo + 256]):
+                    at = np.flatnonzero(known[i] >= last[i])
+                    at = at[np.lexsort((ids[at], -s[i][at]))[:k]]
+                    out["query_id"] += [qid] * len(at)
+                    out["vec_id"] += ids[at].tolist()
+                    out["score"] += s[i][at].tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     key = ["in_n_q", "in_n_v"]

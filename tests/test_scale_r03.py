@@ -2,12 +2,14 @@
 
 import contextlib
 import io
+import random
 
 from pyspark.sql import functions as F
 
 from quorumlake.operators import refine as R
 from quorumlake.operators import tables as B
 from quorumlake.operators import terms as X
+from quorumlake.operators import vectors as V
 from quorumlake.plans.registry import QUERIES
 from quorumlake.sources import readers as IO
 
@@ -53,3 +55,11 @@ def test_containing_looks_for_words_in_different_words_once(spark):
     got = R.containing(d, f)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7), (1, 8), (2, 7), (2, 8), (4, 7), (4, 8)], key=str)
     assert "NestedLoop" not in plan(got)
+
+
+def test_top_k_in_bounded_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(3)) for _ in range(3)]) for i in range(700)]
+    asked, there = spark.createDataFrame(rows[::10], "query_id bigint, q array<double>"), spark.createDataFrame(rows, "vec_id bigint, v array<double>")
+    want = [tuple(x) for x in V.top_k(asked, there, 4, block=10_000).orderBy("query_id", "rank").collect()]
+    assert [tuple(x) for x in V.top_k(asked, there, 4, block=20, most=3).orderBy("query_id", "rank").collect()] == want and len(want) == 280
