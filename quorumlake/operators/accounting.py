@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,13 +11,22 @@ from .graph import with_keys
 
 
 def arrivals(occ: DataFrame, key: str = "fact_key") -> DataFrame:
-    """occ with `class`: of each key in order of seq the first is new; then same_url, same_domain or cross_domain."""
+    """occ with `class`: of each key in order of seq the first is new; then same_url, same_domain or cross_domain.
 
-    def nth(*by: str):
+    All but the first of a key, url and domain are same_url. Only these firsts are ordered by url and by domain, and only the first of each domain by key
+    alone (the others are spread by url), so no task holds all that arrived for a key.
+    """
+
+    def nth(*by: str | Column):
         return F.row_number().over(Window.partitionBy(*by).orderBy("seq"))
 
-    kind = F.when(nth(key) == 1, "new").when(nth(key, "url") > 1, "same_url").when(nth(key, "domain") > 1, "same_domain").otherwise("cross_domain")
-    return occ.withColumn("class", kind)
+    ranked = occ.withColumn("__r", nth(key, "url", "domain"))
+    rest = ranked.filter("__r > 1").drop("__r").withColumn("class", F.lit("same_url"))
+    firsts = ranked.filter("__r = 1").drop("__r").withColumn("__u", nth(key, "url")).withColumn("__d", nth(key, "domain"))
+    spread = F.when(F.col("__d") > 1, F.xxhash64("url", "domain"))
+    new = (F.col("__d") == 1) & (nth(key, spread) == 1)
+    kind = F.when(new, "new").when(F.col("__u") > 1, "same_url").when(F.col("__d") > 1, "same_domain").otherwise("cross_domain")
+    return firsts.withColumn("class", kind).drop("__u", "__d").unionByName(rest)
 
 
 def snapshot(classified: DataFrame, key: str = "fact_key") -> DataFrame:

@@ -3,9 +3,11 @@
 import contextlib
 import io
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from quorumlake.operators import accounting as A
 from quorumlake.operators import refine as R
 from quorumlake.operators import tables as B
 from quorumlake.operators import terms as X
@@ -63,3 +65,17 @@ def test_top_k_in_bounded_blocks(spark):
     asked, there = spark.createDataFrame(rows[::10], "query_id bigint, q array<double>"), spark.createDataFrame(rows, "vec_id bigint, v array<double>")
     want = [tuple(x) for x in V.top_k(asked, there, 4, block=10_000).orderBy("query_id", "rank").collect()]
     assert [tuple(x) for x in V.top_k(asked, there, 4, block=20, most=3).orderBy("query_id", "rank").collect()] == want and len(want) == 280
+
+
+def test_arrivals_sort_firsts_alone(spark):
+    r = random.Random(5)
+    rows = [(f"f{r.randrange(3)}", r.choice(["u1", "u2", "u3", None]), r.choice(["d1", "d2", None]), i) for i in range(300)]
+    keys, urls, domains, want = set(), set(), set(), {}
+    for f, u, d, i in rows:
+        want[i] = "new" if f not in keys else "same_url" if (f, u) in urls else "same_domain" if (f, d) in domains else "cross_domain"
+        keys.add(f)
+        urls.add((f, u))
+        domains.add((f, d))
+    got = A.arrivals(spark.createDataFrame(rows, "fact_key string, url string, domain string, seq int"))
+    assert {x.seq: x["class"] for x in got.collect()} == want and got.count() == 300
+    assert not re.search(r"hashpartitioning\(fact_key#\d+, \d", plan(got))
