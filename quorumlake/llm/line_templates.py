@@ -103,16 +103,26 @@ def recurring(docs: DataFrame, least: int = DOCUMENTS, id_col: str = "doc_id", t
     shaped = cut(shaped.select("leaf", "line", "n", "first", "template", "tokens", anchor.alias("anchor")))
     kinds = shaped.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.first("anchor").alias("anchor"))
     met = cut(_met(kinds).unionByName(kinds.select("leaf", "template", F.col("template").alias("general"))))
-    members = shaped.drop("tokens", "anchor").join(met, ["leaf", "template"])
-    per = cut(members.groupBy("leaf", "general").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("all"), F.min("first").alias("first")))
-    # documents are counted only where the counts of the lines don't settle it
+    # lines are summed by their template before they meet those that generalise it
+    by_kind = cut(shaped.groupBy("leaf", "template").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("all"), F.min("first").alias("first")))
+    summed = met.join(by_kind, ["leaf", "template"])
+    per = cut(summed.groupBy("leaf", "general").agg(F.sum("kinds").alias("kinds"), F.max("most").alias("most"), F.sum("all").alias("all"), F.min("first").alias("first")))
+    # documents are counted only where the counts of the lines don't settle it: those of each template first. One with enough of them settles
+    # all that generalise it; of the others each has fewer, so what is left to put together is as many rows at most for each pair
     unsettled = per.filter((F.col("kinds") > 1) & (F.col("most") < least) & (F.col("all") >= least)).select("leaf", "general")
-    held = _salted(members.join(unsettled, ["leaf", "general"]).select("leaf", "line", "general"), lines).select("leaf", "general", "doc").distinct()
-    counted = held.groupBy("leaf", "general").agg(F.count("*").alias("documents"))
+    open_ = cut(met.join(unsettled, ["leaf", "general"]))
+    asked = shaped.select("leaf", "line", "template").join(open_.select("leaf", "template").distinct(), ["leaf", "template"], "left_semi")
+    holding = cut(_salted(asked, lines).select("leaf", "template", "doc").distinct())
+    sizes = open_.join(holding.groupBy("leaf", "template").agg(F.count("*").alias("documents")), ["leaf", "template"])
+    sizes = cut(sizes.groupBy("leaf", "general").agg(F.max("documents").alias("documents")))
+    left = open_.join(sizes.filter(F.col("documents") < least).select("leaf", "general"), ["leaf", "general"])
+    held = left.join(holding, ["leaf", "template"]).select("leaf", "general", "doc").distinct()
+    counted = held.groupBy("leaf", "general").agg(F.count("*").alias("documents")).unionByName(sizes.filter(F.col("documents") >= least))
     again = cut(per.join(counted, ["leaf", "general"], "left").filter(F.coalesce("documents", "most") >= least).select("leaf", "general", F.col("first").alias("keeper")))
     below = met.filter("template <> general").join(again, ["leaf", "general"]).select("leaf", F.col("template").alias("general"))
     tops = again.join(below, ["leaf", "general"], "left_anti")
-    general = members.join(tops, ["leaf", "general"]).groupBy("leaf", "line").agg(F.collect_set("keeper").alias("firsts"))
+    kept = met.join(tops, ["leaf", "general"]).groupBy("leaf", "template").agg(F.collect_set("keeper").alias("firsts"))
+    general = shaped.select("leaf", "line", "template").join(kept, ["leaf", "template"]).select("leaf", "line", "firsts")
     return lines, cut(single.unionByName(general))
 
 
