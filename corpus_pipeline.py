@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import language_mix, line_templates, near_copies, source_mix, spaced_seeds
+from quorumlake.llm import language_mix, line_templates, near_copies, simhash, source_mix, spaced_seeds
 from quorumlake.llm.shared import forget, settled
 
 
@@ -26,8 +26,9 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity of their five-word shingles 0.8 or more) the document of least doc_id stays."""
-    return near_copies.one_of_each(docs)
+    """Of each group of near copies by fingerprint (op9: SimHash, 2 or fewer bits) the document of least doc_id stays; of these
+    then one of each group of five-word shingles alike by 0.8 or more, which 2 bits of a fingerprint don't reach."""
+    return near_copies.one_of_each(settled(lambda: simhash.one_of_each(docs)))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

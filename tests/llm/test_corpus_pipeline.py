@@ -68,3 +68,9 @@ def test_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
     assert sorted(out.columns) == sorted({*docs.columns, "size", "source_size", "target", "taken"})
     out.write.parquet(str(tmp_path / "out"))
     assert {r.row for r in out.select("row").distinct().collect()} == {"own row"}
+
+
+def test_near_duplicates_go_by_fingerprint_first(spark, monkeypatch):
+    monkeypatch.setattr(cp.simhash, "one_of_each", lambda docs: docs.filter("doc_id <> 1"))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id bigint, text string")
+    assert [r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()] == [2]
