@@ -23,18 +23,22 @@ from ..operators import graph as G
 
 #: Rows of a bucket, about, buckets at most, and deltas that stand beside the base at most.
 TARGET, BUCKETS, DELTAS = 20_000, 65_536, 8
+#: Keys of a batch that are sent to every task.
+BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
 class Kept:
     """What is kept: `rows` makes of input rows rows that merge by `key`, by the aggregates `merge` gives; `result` makes the table of them, a
-    row for each `by`, which is a part of the key. What has the same `by` lies in one bucket."""
+    row for each `by`, which is a part of the key. What has the same `by` lies in one bucket. A `result` that gives the same of rows that aren't merged
+    gets them as they are."""
 
     by: tuple[str, ...]
     key: tuple[str, ...]
     rows: Callable[[DataFrame], DataFrame]
     merge: Callable[[], list[Column]]
     result: Callable[[DataFrame], DataFrame]
+    unmerged: bool = False
 
 
 @dataclass(frozen=True)
@@ -96,9 +100,14 @@ def _merged(rows: DataFrame, kept: Kept) -> DataFrame:
     return rows.groupBy(*kept.key).agg(*kept.merge())
 
 
+def _result(rows: DataFrame, kept: Kept) -> DataFrame:
+    return kept.result(rows if kept.unmerged else _merged(rows, kept))
+
+
 def _write(rows: DataFrame, kept: Kept, buckets: int, path: str) -> None:
+    """Rows in folders by bucket. A bucket goes to one task as long as it is small; what has more rows, as a first batch or one much confirmed fact, is split over many."""
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*kept.by), F.lit(buckets)).cast("int"))
-    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    dealt.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _same(left: DataFrame, right: DataFrame, key: tuple[str, ...]) -> Column:
@@ -110,11 +119,14 @@ def _same(left: DataFrame, right: DataFrame, key: tuple[str, ...]) -> Column:
 
 def touched(spark: SparkSession, store: str, kept: Kept, at: Layout, new: DataFrame) -> DataFrame | None:
     """The rows held so far under the keys of a batch, from the buckets of these keys. Their numbers, one for each of at most BUCKETS buckets, go to the driver."""
-    numbers = {r[0] for r in new.select(F.pmod(F.xxhash64(*kept.by), F.lit(at.buckets)).cast("int")).distinct().collect()}
-    held = _read(spark, store, at.names, numbers)
+    keys = new.select(*[F.col(k).alias(f"__{k}") for k in kept.by]).distinct()
+    number = F.pmod(F.xxhash64(*keys.columns), F.lit(at.buckets)).cast("int").alias("bucket")
+    numbers = {r[0]: r[1] for r in keys.groupBy(number).count().collect()}
+    held = _read(spark, store, at.names, set(numbers))
     if held is None:
         return None
-    keys = new.select(*[F.col(k).alias(f"__{k}") for k in kept.by]).distinct()
+    if sum(numbers.values()) <= BROADCAST:  # what is held isn't shuffled by its keys, of which some may have most rows
+        keys = F.broadcast(keys)
     same = F.lit(True)
     for k in kept.by:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -134,10 +146,10 @@ def apply(batch: DataFrame, n: int, store: str, kept: Kept) -> None:
     if new is None:  # an empty batch
         return
     held = touched(spark, store, kept, at, new)
-    change = kept.result(_merged(new if held is None else new.unionByName(held), kept)).withColumn("op", F.lit("+"))
+    change = _result(new if held is None else new.unionByName(held), kept).withColumn("op", F.lit("+"))
     if held is not None:
         row = F.struct(*[c for c in change.columns if c != "op"])
-        both = change.unionByName(kept.result(_merged(held, kept)).withColumn("op", F.lit("-")))
+        both = change.unionByName(_result(held, kept).withColumn("op", F.lit("-")))
         was, is_ = (F.max(F.when(F.col("op") == o, row)) for o in "-+")
         both = both.groupBy(*kept.by).agg(was.alias("was"), is_.alias("is")).filter("not was <=> is")
         sides = F.array(F.struct(F.lit("-").alias("op"), F.col("was").alias("r")), F.struct(F.lit("+").alias("op"), F.col("is").alias("r")))
@@ -196,7 +208,7 @@ def compact(spark: SparkSession, store: str, kept: Kept) -> None:
 
 def current(spark: SparkSession, store: str, kept: Kept) -> DataFrame:
     """The table as the last batch left it: what the batch form gives of all rows."""
-    return kept.result(_merged(_read(spark, store, layout(spark, store).names), kept))
+    return _result(_read(spark, store, layout(spark, store).names), kept)
 
 
 def changes(spark: SparkSession, store: str) -> DataFrame:
@@ -217,13 +229,15 @@ def _confirmations(occ: DataFrame) -> DataFrame:
 
 
 def _facts(rows: DataFrame) -> DataFrame:
-    f = rows.groupBy("fact_key").agg(F.min("first").alias("f"), F.sum("occurrences").alias("occurrences"), F.count_distinct("domain").alias("domains"), F.count_distinct("url").alias("urls"))
+    # what is counted as different goes apart from the rest: together each row would be sorted three times at its full width
+    n = rows.groupBy("fact_key").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("url").alias("urls"))
+    f = rows.groupBy("fact_key").agg(F.min("first").alias("f"), F.sum("occurrences").alias("occurrences")).join(n, "fact_key")
     digest = T.fact_hash(F.col("f.subject"), F.col("f.predicate"), F.col("f.object")).alias("fact_hash")
     return f.select("fact_key", digest, F.col("f.subject").alias("subject"), F.col("f.predicate").alias("predicate"), F.col("f.object").alias("object"), "occurrences", "domains", "urls", (F.col("domains") >= G.QUORUM).alias("verified"))
 
 
 #: Facts of occurrences (graph.facts), kept as confirmations by url and domain.
-FACTS = Kept(("fact_key",), ("fact_key", "url", "domain"), _confirmations, lambda: [F.min("first").alias("first"), F.sum("occurrences").alias("occurrences")], _facts)
+FACTS = Kept(("fact_key",), ("fact_key", "url", "domain"), _confirmations, lambda: [F.min("first").alias("first"), F.sum("occurrences").alias("occurrences")], _facts, unmerged=True)
 
 
 def _seen(events: DataFrame) -> DataFrame:

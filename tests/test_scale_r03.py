@@ -14,6 +14,7 @@ from quorumlake.operators import terms as X
 from quorumlake.operators import vectors as V
 from quorumlake.plans.registry import QUERIES
 from quorumlake.sources import readers as IO
+from quorumlake.streaming import store as K
 
 
 def plan(df) -> str:
@@ -79,3 +80,29 @@ def test_arrivals_sort_firsts_alone(spark):
     got = A.arrivals(spark.createDataFrame(rows, "fact_key string, url string, domain string, seq int"))
     assert {x.seq: x["class"] for x in got.collect()} == want and got.count() == 300
     assert not re.search(r"hashpartitioning\(fact_key#\d+, \d", plan(got))
+
+
+def test_one_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    columns = "subject string, predicate string, object string, url string, domain string, confidence double, seq int"
+    rows = [("s", "p", "o", f"u{i % 3000}", f"d{i % 7}", 0.5, -i) for i in range(4000)]
+    sizes = [f"spark.sql.adaptive.{x}" for x in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")]
+    for size in sizes:
+        spark.conf.set(size, "2k")
+    try:
+        for n in range(2):
+            K.apply(spark.createDataFrame(rows[n::2], columns), n, str(tmp_path / "store"), K.FACTS)
+    finally:
+        for size in sizes:
+            spark.conf.unset(size)
+    at = K.layout(spark, str(tmp_path / "store"))
+    (base,) = at.names
+    assert max(len(list(b.glob("*.parquet"))) for b in (tmp_path / "store" / base / "state").glob("bucket=*")) > 1
+    assert [r[0] for r in K.current(spark, str(tmp_path / "store"), K.FACTS).select(F.concat_ws("|", "subject", "occurrences", "domains", "urls")).collect()] == ["s|4000|7|3000"]
+
+
+def test_facts_of_unmerged_rows_are_not_expanded(spark):
+    rows = spark.createDataFrame([("k", "u1", "d", (2, "S", "p", "o"), 1), ("k", "u1", "d", (1, "s", "p", "o"), 4), ("k", None, None, (3, "x", "p", "o"), 1), ("n", None, None, (3, None, None, None), 1)],
+                                 "fact_key string, url string, domain string, first struct<seq int, subject string, predicate string, object string>, occurrences bigint")
+    got = K.FACTS.result(rows)
+    assert sorted((r.fact_key, r.subject, r.occurrences, r.domains, r.urls) for r in got.collect()) == [("k", "s", 6, 1, 1), ("n", None, 1, 0, 0)]
+    assert not any("min(first" in x for x in plan(got).splitlines() if "Expand" in x) and K.FACTS.unmerged
