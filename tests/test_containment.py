@@ -35,3 +35,20 @@ def test_search_of_many_keywords(spark, monkeypatch):
     assert list(map(tuple, G.search_context(edges, keys).collect())) == want
     monkeypatch.setattr(C, "SMALL", 0)
     assert list(map(tuple, G.search_context(edges, keys).collect())) == want
+
+
+def test_phrases_of_whole_words_are_met_at_these(spark):
+    r = random.Random(7)
+    words = ["a", "b", "ab", "ba", "aab", "", "é", "abé𝒜", "bb"]
+    texts = [(i, " ".join(r.choices(words, k=r.randrange(1, 14))), "x") for i in range(120)] + [(200, None, "x"), (201, "  ", "x"), (202, "xa b  bab a", "y"), (None, "a b ab", "z"), (203, "a\nb c a b", "z")]
+    phrases = [(" ".join(r.choices(words, k=r.randrange(3, 7))), i) for i in range(150)] + [("  ", -1), (" b ", -2), ("a b ", -3), (None, -4), ("a b ab", -5), ("a b ab", -6), ("a b", -7), ("é", -8), ("\nb c a", -9)]
+    want = sorted(((i, t, p, k) for i, t, _ in texts for p, k in phrases if t is not None and p is not None and p in t), key=str)
+    t = spark.createDataFrame(texts, TEXTS)
+    got = C.contained(t, ["id"], "text", spark.createDataFrame(phrases, "phrase string, tag int"), "phrase", small=0)
+    assert pairs(got) == want and len({k for _, _, _, k in want if k >= 0}) > 30
+    spaced = [x for x in phrases if x[0] is not None and x[0].count(" ") > 1]
+    only = C.contained(t, ["id"], "text", spark.createDataFrame(spaced, "phrase string, tag int"), "phrase", small=0)
+    assert pairs(only) == [x for x in want if x[2].count(" ") > 1]
+    assert "regexp_extract_all" not in only._jdf.queryExecution().optimizedPlan().toString()
+    nulls = spark.createDataFrame([(None, 1)], "phrase string, tag int")
+    assert C.contained(t, ["id"], "text", nulls, "phrase", small=0).collect() == []
