@@ -62,8 +62,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     def run(batches):
         found: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found[lang] = found.get(lang, 0) + trigrams(text)
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+                found[lang] = found.get(lang, 0) + trigrams(text.as_py())
         for lang, counts in found.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "value", "n"])
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.arrow_udf("array<struct<lang:string,share:double>>")
     def languages(texts: pa.Array) -> pa.Array:
-        found = [[{"lang": lang, "share": s} for lang, s in infer(shared.value, t)] for t in texts.to_pylist()]
+        found = [[{"lang": lang, "share": s} for lang, s in infer(shared.value, t.as_py())] for t in texts]
         return pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
 
     out = docs.withColumn("languages", languages(F.col(text_col).cast("string")))

@@ -22,6 +22,8 @@ from .shared import cut
 DOCUMENTS, DEPTH, CONSTANT = 10, 3, 0.7
 #: Parts that the documents of one line are dealt over where lines meet their templates.
 SALTS = 16
+#: Texts of a batch that are Python objects at once.
+SLICE = 500
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d", re.A)
 
@@ -43,8 +45,8 @@ def _keys(line: str) -> tuple[int, int] | None:
 def _parsed(batches):
     for b in batches:
         docs, leaves, lines = [], [], []
-        for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
-            found = {_keys(x) for x in text.split("\n")} - {None}
+        for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
+            found = {_keys(x) for x in text.as_py().split("\n")} - {None}
             docs += [doc] * len(found)
             leaves += [k for k, _ in found]
             lines += [k for _, k in found]
@@ -146,20 +148,25 @@ def drop_recurring(docs: DataFrame, least: int = DOCUMENTS, counts: bool = True)
     gone = _salted(templates, lines).filter(~F.array_contains("firsts", F.col("doc")))
     gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
 
+    kind = pa.struct([("text", pa.string()), ("lines", pa.int64()), ("dropped", pa.int64())])
+
     @F.arrow_udf("struct<text:string,lines:bigint,dropped:bigint>")
     def cleaned(texts: pa.Array, drops: pa.Array) -> pa.Array:
-        out = []
-        for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
-            kept, n, dropped, drop = [], 0, 0, set(drop or ())
-            for x in (text or "").split("\n"):
-                k = _keys(x) if drop else None
-                n += bool(x.split())
-                if k and k[1] in drop:
-                    dropped += 1
-                else:
-                    kept.append(x)
-            out.append({"text": None if text is None else "\n".join(kept), "lines": n, "dropped": dropped})
-        return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("dropped", pa.int64())]))
+        done = [pa.array([], kind)]
+        for i in range(0, len(texts), SLICE):
+            out = []
+            for text, drop in zip(texts.slice(i, SLICE).to_pylist(), drops.slice(i, SLICE).to_pylist(), strict=True):
+                kept, n, dropped, drop = [], 0, 0, set(drop or ())
+                for x in (text or "").split("\n"):
+                    k = _keys(x) if drop else None
+                    n += bool(x.split())
+                    if k and k[1] in drop:
+                        dropped += 1
+                    else:
+                        kept.append(x)
+                out.append({"text": None if text is None else "\n".join(kept), "lines": n, "dropped": dropped})
+            done.append(pa.array(out, kind))
+        return pa.concat_arrays(done)
 
     joined = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__doc"), "left")
     joined = joined.withColumn("__new", cleaned(F.col("text").cast("string"), F.col("__gone")))

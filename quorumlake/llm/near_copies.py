@@ -9,18 +9,16 @@ the others are verified on the whole sets; no pair is lost, whatever the edits a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forget, settled
+from .shared import BROADCAST, components, cut, forget, row_key, rows_of, settled
 
 WORDS = 5
 #: Shingles laid last in the order: the most frequent ones of one document in SAMPLE. The order changes the work, not the pairs.
 COMMON, SAMPLE = 65_536, 16
-#: Rows that are broadcast at most. Beyond, documents are shuffled.
-BROADCAST = 2_000_000
 
 
 def _shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -37,12 +35,18 @@ def _shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    """The numbers of all sets in one buffer, without a copy of each as Python objects."""
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+
+
 def shingles(text: Column) -> Column:
     """array<bigint>, of whole texts. Only A-Z are lower-cased; words lie between ASCII white space; null and blank texts: none."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(x) for x in texts], dtype="object")
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists([_shingles(x.as_py()) for x in texts])
 
     return run(text.cast("binary"))
 
@@ -51,25 +55,22 @@ def _signed(text: Column, common: list[int]) -> Column:
     """struct: sk, the hash of the set; n, its size; rare, how many are not common; prefix, the first n / 5 + 1, rare ones first."""
     last = np.sort(np.array(common, np.int64))
 
-    @F.pandas_udf("sk bigint, n int, rare int, prefix array<bigint>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+    @F.arrow_udf("sk bigint, n int, rare int, prefix array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        sks, sizes, rares, prefixes = [], [], [], []
         for x in texts:
-            s = _shingles(x)
+            s = _shingles(x.as_py())
             at = np.minimum(np.searchsorted(last, s), max(len(last) - 1, 0))
             known = last[at] == s if len(last) else np.zeros(len(s), bool)
-            laid = np.concatenate([s[~known], s[known]])[: len(s) // 5 + 1]
-            sk = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
-            rows.append((sk, len(s), int((~known).sum()), laid))
-        return pd.DataFrame(rows, columns=["sk", "n", "rare", "prefix"])
+            sks.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)))
+            sizes.append(len(s))
+            rares.append(int((~known).sum()))
+            prefixes.append(np.concatenate([s[~known], s[known]])[: len(s) // 5 + 1].copy())
+        return pa.StructArray.from_arrays([pa.array(sks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rares, pa.int32()), _lists(prefixes)], ["sk", "n", "rare", "prefix"])
 
     return run(text.cast("binary"))
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), F.col("text"))
-
-
 def _side(nodes: DataFrame, name: str) -> DataFrame:
     """(name, {name}_n, {name}_prefix, {name}_edge): edge is where the prefix ends in the order of all shingles."""
     edge = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1))
@@ -88,7 +89,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = cut(both.filter(9 * most >= 4 * (F.col("u_n") + F.col("v_n"))).select("u", "v"))
     need = pairs.select(F.col("u").alias("sk")).union(pairs.select("v")).distinct()
     need = cut(need.join(nodes, "sk").select("sk", "row"))
-    texts = docs.select(_row(docs).alias("row"), "text")
+    texts = docs.select(row_key(), "text")
     texts = texts.join(F.broadcast(need) if need.count() <= BROADCAST else need, "row")
     sets = cut(texts.dropDuplicates(["sk"]).select("sk", shingles(F.col("text")).alias("set")))
     both = pairs.join(sets.select(F.col("sk").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("sk").alias("v"), F.col("set").alias("b")), "v")
@@ -131,7 +132,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(shingles(F.col("text"))).alias("h"))
     common = [r.h for r in some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()]
-    by_row = docs.select(_row(docs).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), _signed(F.col("text"), common).alias("x"))
+    by_row = docs.select(row_key(), F.col("doc_id").cast("bigint").alias("doc_id"), _signed(F.col("text"), common).alias("x"))
     by_row = cut(by_row.select("row", "doc_id", "x.*"))
     firsts = by_row.groupBy("sk").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"))
     kept = by_row.join(firsts.select("row"), "row").dropDuplicates(["row"])
@@ -157,8 +158,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def chosen() -> DataFrame:
         stay = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        return stay.groupBy("root").agg(F.min(F.struct(F.col("row").alias("__row"), F.col("times").alias("__times"))).alias("x")).select("x.*")
+        return stay.groupBy("root").agg(F.min(F.struct("row", "times")).alias("x")).select("x.*")
 
-    stay = settled(chosen)
-    kept = docs.withColumn("__row", _row(docs)).join(F.broadcast(stay) if stay.count() <= BROADCAST else stay, "__row")
-    return kept.filter("__times = 1").union(kept.filter("__times > 1").dropDuplicates(["__row"])).select(*docs.columns)
+    return rows_of(docs, settled(chosen), BROADCAST)

@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that are broadcast at most. Beyond, documents are shuffled.
+BROADCAST = 2_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. On one machine (tests) a folder of our own where that is unset; on a cluster an error."""
@@ -62,6 +65,18 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def row_key() -> Column:
+    """row: the hash of doc_id and the whole text."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), F.col("text")).alias("row")
+
+
+def rows_of(docs: DataFrame, stay: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """One row of docs for each of stay (row, times: how often docs has it), with the columns of docs. Up to `most` of stay are broadcast."""
+    stay = stay.select(F.col("row").alias("__row"), F.col("times").alias("__times"))
+    kept = docs.withColumn("__row", row_key()).join(F.broadcast(stay) if stay.count() <= most else stay, "__row")
+    return kept.filter("__times = 1").union(kept.filter("__times > 1").dropDuplicates(["__row"])).select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v), of one orderable type: (node, root), root the least node reachable.
 

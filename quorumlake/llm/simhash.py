@@ -5,12 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from .shared import components, cut, row_key, rows_of, settled
 
 #: A block with more fingerprints than this is searched by one-bit neighbours instead of pairs; both are exact.
 CROWDED = 48
@@ -32,9 +32,9 @@ def _fingerprint(text: bytes | None, words: int, seed: int = 42) -> int:
 def fingerprint(text: Column, words: int = 3) -> Column:
     """bigint, of whole texts. Only A-Z are lower-cased; words lie between ASCII white space; null and blank texts: 0."""
 
-    @F.pandas_udf("bigint")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprint(x, words) for x in texts], dtype="int64")
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_fingerprint(x.as_py(), words) for x in texts], pa.int64())
 
     return run(text.cast("binary"))
 
@@ -68,6 +68,15 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(met.join(star, "mid").filter("fp > v").select("fp", "v")).distinct()
 
 
+def _named(by_doc: DataFrame) -> DataFrame:
+    """by_doc (with doc_id and fp) with root and component_id."""
+    fps = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(fps))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    groups = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return by_doc.join(cut(named.join(groups, "root").select("fp", "root", "component_id")), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per input row: doc_id, fp bigint, root bigint (least fingerprint of its component), component_id (least doc_id).
 
@@ -76,20 +85,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns of the input are not read, so their names are free.
     """
     by_doc = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")))
-    fps = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(fps))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    groups = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return by_doc.join(cut(named.join(groups, "root").select("fp", "root", "component_id")), "fp").select("doc_id", "fp", "root", "component_id")
+    return _named(by_doc).select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of docs that stand for their group, one for each: that with the least doc_id. Columns stay as they are.
 
     Of rows repeated under one doc_id in one group one stays. Nulls, blanks and empty tables: as in near_duplicates.
+    Each text is fingerprinted once; the rows that stay are then met by their hash, so texts aren't shuffled.
     """
-    stay = near_duplicates(docs, words=words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.dropDuplicates(["root"]).select(F.col("doc_id").alias("__stay_id"), F.col("fp").alias("__stay_fp"))
-    tagged = docs.withColumn("__fp", fingerprint(F.col("text"), words))
-    kept = tagged.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__stay_id")) & (F.col("__fp") == F.col("__stay_fp")))
-    return kept.dropDuplicates(["__stay_id", "__stay_fp"]).select(*docs.columns)
+
+    def chosen() -> DataFrame:
+        by_row = cut(docs.select(row_key(), F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(F.col("text"), words).alias("fp")))
+        stay = _named(by_row).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "row").agg(F.count("*").alias("times"))
+        return stay.groupBy("root").agg(F.min(F.struct("row", "times")).alias("x")).select("x.*")
+
+    return rows_of(docs, settled(chosen))
